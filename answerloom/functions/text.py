@@ -119,9 +119,12 @@ def query_terms(c: Column | str) -> Column:
 
 def coverage_of(query_terms: Column, text_tokens: Column) -> Column:
     """Share of the distinct query terms found in the text tokens; 0 when either side has no token."""
-    terms = F.array_distinct(query_terms)
-    hit = F.size(F.array_intersect(terms, text_tokens))
-    return F.when((F.size(terms) > 0) & (F.size(text_tokens) > 0), hit / F.size(terms)).otherwise(F.lit(0.0))
+
+    def share(terms: Column, tokens: Column) -> Column:
+        hit = F.size(F.array_intersect(terms, tokens))
+        return F.when((F.size(terms) > 0) & (F.size(tokens) > 0), hit / F.size(terms)).otherwise(F.lit(0.0))
+
+    return _let(F.array_distinct(query_terms), lambda terms: _let(text_tokens, lambda tokens: share(terms, tokens)))
 
 
 def coverage(query: Column | str, text: Column | str) -> Column:

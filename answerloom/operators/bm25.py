@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from answerloom.functions.text import tokenize
-from answerloom.operators.skew import bounded_join, measure, top_per_group, within_bounds
+from answerloom.operators.skew import bounded_join, explode_computed, measure, top_per_group, within_bounds
 
 K1 = 1.5
 B = 0.75
@@ -33,7 +33,7 @@ def postings(chunks: DataFrame, text: str = "content", vocabulary: DataFrame | N
     With ``vocabulary(term)`` only those terms are kept, before the combine.
     """
     tokens = tokenized(chunks, text).withColumn("dl", F.greatest(F.size("tokens"), F.lit(1)))
-    exploded = tokens.select("kb_id", "chunk_key", "dl", F.explode("tokens").alias("term"))
+    exploded = explode_computed(tokens, "tokens", "term").select("kb_id", "chunk_key", "dl", "term")
     if vocabulary is not None:
         exploded = bounded_join(exploded, vocabulary, ["term"], "left_semi", spread=["chunk_key"])
     return exploded.groupBy("kb_id", "chunk_key", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
@@ -62,7 +62,7 @@ def build_index(chunks: DataFrame, text: str = "content", queries: DataFrame | N
     """
     vocabulary = None
     if queries is not None:
-        vocabulary = queries.select(F.explode(tokenize("question")).alias("term")).distinct()
+        vocabulary = explode_computed(queries.select(tokenize("question").alias("t")), "t", "term").distinct()
     post = postings(chunks, text, vocabulary)
     return Bm25Index(post, corpus_stats(doc_stats(chunks, text)), term_stats(post), chunks.select("kb_id").distinct())
 
@@ -74,7 +74,8 @@ def idf(n: str = "n", df: str = "df") -> F.Column:
 def query_tokens(queries: DataFrame, text: str = "question") -> DataFrame:
     """(query_id, term, mult), plus ``kb_ids`` when the queries name the collections to search."""
     keep = [c for c in ("kb_ids",) if c in queries.columns]
-    exploded = queries.select("query_id", *keep, F.explode(tokenize(text)).alias("term"))
+    tokens = queries.select("query_id", *keep, tokenize(text).alias("tokens"))
+    exploded = explode_computed(tokens, "tokens", "term")
     return exploded.groupBy("query_id", *keep, "term").agg(F.count("*").alias("mult"))
 
 

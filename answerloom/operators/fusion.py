@@ -23,18 +23,21 @@ REASON_NO_CANDIDATES = "no_candidates"
 REASON_BELOW = "below_all_thresholds"
 # ----------------------------------------------------------------------------------------------------------------
 
-BY_QUERY = W.partitionBy("query_id")
 
+def by_query(within: Sequence[str] = ()):
+    """Rows of one query; ``within`` names flags that separate its rows (all of them stay in the query's partition)."""
+    return W.partitionBy("query_id", *within)
 
-def minmax(value: Column, window: W = BY_QUERY) -> Column:
-    """Scale to [0, 1] inside the window; a span of at most 1e-12 gives 1.0. NULLs stay out and stay NULL."""
-    low, high = F.min(value).over(window), F.max(value).over(window)
+
+def minmax(value: Column, within: Sequence[str] = ()) -> Column:
+    """Scale to [0, 1] inside the query; a span of at most 1e-12 gives 1.0. NULLs stay out and stay NULL."""
+    low, high = F.min(value).over(by_query(within)), F.max(value).over(by_query(within))
     return F.when(value.isNotNull(), F.when(high - low <= 1e-12, 1.0).otherwise((value - low) / (high - low)))
 
 
-def rank_of(score: Column, key: str = "chunk_key", present: Column | None = None) -> Column:
+def rank_of(score: Column, key: str = "chunk_key", present: Column | None = None, within: Sequence[str] = ()) -> Column:
     """Unique 1-based rank by (score desc, key); rows outside ``present`` get NULL."""
-    rank = F.row_number().over(BY_QUERY.orderBy(score.desc_nulls_last(), F.asc(key)))
+    rank = F.row_number().over(by_query(within).orderBy(score.desc_nulls_last(), F.asc(key)))
     return rank if present is None else F.when(present, rank)
 
 
@@ -47,18 +50,20 @@ def merge_recall(vec: DataFrame, bm: DataFrame) -> DataFrame:
     )
 
 
-def fuse_weighted(df: DataFrame, alpha: float = 0.6) -> DataFrame:
+def fuse_weighted(df: DataFrame, alpha: float = 0.6, within: Sequence[str] = ()) -> DataFrame:
     """alpha x scaled vector score + (1 - alpha) x scaled keyword score; a missing side counts 0."""
     a = min(max(float(alpha), 0.0), 1.0)
-    v = F.coalesce(minmax(F.col("vector_score")), F.lit(0.0))
-    b = F.coalesce(minmax(F.col("bm25_score")), F.lit(0.0))
+    v = F.coalesce(minmax(F.col("vector_score"), within), F.lit(0.0))
+    b = F.coalesce(minmax(F.col("bm25_score"), within), F.lit(0.0))
     return df.withColumn("fused", a * v + (1 - a) * b)
 
 
-def fuse_rrf(df: DataFrame, scores: Sequence[str] = ("vector_score", "bm25_score"), k: int = RRF_K) -> DataFrame:
+def fuse_rrf(
+    df: DataFrame, scores: Sequence[str] = ("vector_score", "bm25_score"), k: int = RRF_K, within: Sequence[str] = ()
+) -> DataFrame:
     """Sum of 1 / (k + rank) over the lists a candidate is in; ranks are taken among the given rows."""
     parts = [
-        F.coalesce(1.0 / (k + rank_of(F.col(s), present=F.col(s).isNotNull())), F.lit(0.0)) for s in scores
+        F.coalesce(1.0 / (k + rank_of(F.col(s), present=F.col(s).isNotNull(), within=within)), F.lit(0.0)) for s in scores
     ]
     return df.withColumn("fused", reduce(lambda a, b: a + b, parts))
 
@@ -69,57 +74,80 @@ def fuse_lists(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     return lists.withColumn("r", rank).groupBy("query_id", "chunk_key").agg(F.sum(1.0 / (k + F.col("r"))).alias("fused"))
 
 
-def normalize_scores(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", F.round(minmax(F.col("fused")), 6)).withColumn("fused_score", F.round("fused", 8))
+def normalize_scores(df: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    return df.withColumn("score", F.round(minmax(F.col("fused"), within), 6)).withColumn("fused_score", F.round("fused", 8))
 
 
-def autocut(df: DataFrame, ratio: float = 0.35, min_keep: int = 1, max_keep: int | None = None) -> DataFrame:
+def autocut(
+    df: DataFrame, ratio: float = 0.35, min_keep: int = 1, max_keep: int | None = None, within: Sequence[str] = ()
+) -> DataFrame:
     """Flag the prefix whose score is at least ``ratio`` of the best one: column ``kept``.
 
     Scores are sorted, so the prefix is every row above the limit. No cut when ``ratio`` or the best score is not
     positive.
     """
-    position = rank_of(F.col("score"))
-    top = F.max("score").over(BY_QUERY)
+    position = rank_of(F.col("score"), within=within)
+    top = F.max("score").over(by_query(within))
     above = (F.lit(ratio) <= 0) | (top <= 0) | (F.col("score") >= top * ratio)
     keep = above | (position <= min_keep)
     return df.withColumn("kept", keep if max_keep is None else keep & (position <= max_keep))
 
 
-def heuristic_score(q_terms: Column) -> Column:
+def section_text() -> Column:
+    return F.concat_ws(
+        " ", F.when(F.col("section_path") != "", F.col("section_path")), F.when(F.col("doc_name") != "", F.col("doc_name"))
+    )
+
+
+def heuristic_score() -> Column:
     """0.60 content coverage + 0.25 section and name coverage + 0.15 clamped vector score."""
-    section = F.concat_ws(" ", F.when(F.col("section_path") != "", F.col("section_path")), F.when(F.col("doc_name") != "", F.col("doc_name")))
     vector = F.least(F.greatest(F.coalesce("vector_score", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    return (
-        W_CONTENT * F.col("keyword_coverage") + W_SECTION * T.coverage_of(q_terms, T.tokenize(section)) + W_VECTOR * vector
-    )
+    return W_CONTENT * F.col("keyword_coverage") + W_SECTION * F.col("section_coverage") + W_VECTOR * vector
 
 
-def blend(df: DataFrame) -> DataFrame:
+def blend(df: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Final score: 0.7 rerank (NULL counts 0) + 0.3 fused score scaled within the batch."""
-    mixed = BLEND_RERANK * F.coalesce("rerank_score", F.lit(0.0)) + BLEND_FUSED * minmax(F.col("fused_score"))
+    mixed = BLEND_RERANK * F.coalesce("rerank_score", F.lit(0.0)) + BLEND_FUSED * minmax(F.col("fused_score"), within)
     return df.withColumn("score", F.round(mixed, 6))
 
 
-def rerank_heuristic(df: DataFrame) -> DataFrame:
-    return blend(df.withColumn("rerank_score", F.round(heuristic_score(F.col("q_terms")), 6)))
+def rerank_heuristic(df: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    return blend(df.withColumn("rerank_score", F.round(heuristic_score(), 6)), within)
 
 
-def rerank_external(df: DataFrame, scores: DataFrame, top_n: int = 10) -> DataFrame:
+def rerank_external(df: DataFrame, scores: DataFrame, top_n: int = 10, within: Sequence[str] = ()) -> DataFrame:
     """Rerank with a score table (query_id, rank, score 0 to 10) made by any outside model.
 
     Ranks refer to the present order. The first ``top_n`` rows take score / 10 clamped to [0, 1], or the heuristic
     score where the table has none; later rows keep NULL. A query without any usable score falls back to the
     heuristic for all its rows.
     """
-    ranked = df.withColumn("rank", rank_of(F.col("score")))
-    usable = scores.filter("rank >= 1 AND score IS NOT NULL").select("query_id", "rank", F.col("score").alias("_ext"))
-    joined = ranked.join(usable, ["query_id", "rank"], "left")
-    given = F.when(F.col("rank") <= top_n, F.least(F.greatest(F.col("_ext") / 10.0, F.lit(0.0)), F.lit(1.0)))
-    any_given = F.max(given.isNotNull()).over(BY_QUERY)
-    own = heuristic_score(F.col("q_terms"))
-    score = F.when(~any_given, own).otherwise(F.when(F.col("rank") <= top_n, F.coalesce(given, own)))
-    return blend(joined.withColumn("rerank_score", F.round(score, 6))).drop("_ext", "rank")
+    ranked = df.withColumn("_rank", rank_of(F.col("score"), within=within))
+    usable = scores.filter("rank >= 1 AND score IS NOT NULL").select(
+        "query_id", F.col("rank").alias("_rank"), F.col("score").alias("_ext")
+    )
+    joined = ranked.join(usable, ["query_id", "_rank"], "left")
+    given = F.when(F.col("_rank") <= top_n, F.least(F.greatest(F.col("_ext") / 10.0, F.lit(0.0)), F.lit(1.0)))
+    any_given = F.max(given.isNotNull()).over(by_query(within))
+    own = heuristic_score()
+    score = F.when(~any_given, own).otherwise(F.when(F.col("_rank") <= top_n, F.coalesce(given, own)))
+    return blend(joined.withColumn("rerank_score", F.round(score, 6)), within).drop("_ext", "_rank")
+
+
+def passes(v_thr: float, k_thr: float, member: Column) -> Column:
+    """Does the query of this row pass the gate? The best signals are taken over its rows in ``member``."""
+    vector = F.max(F.when(member, F.col("vector_score"))).over(by_query())
+    words = F.max(F.when(member, F.col("keyword_coverage"))).over(by_query())
+    return F.coalesce(vector >= v_thr, F.lit(False)) | F.coalesce(words >= k_thr, F.lit(False))
+
+
+def reason_of(n: Column, vector: Column, words: Column, v_thr: float, k_thr: float) -> Column:
+    return (
+        F.when(F.coalesce(n, F.lit(0)) == 0, REASON_NO_CANDIDATES)
+        .when(F.coalesce(vector, F.lit(0.0)) >= v_thr, REASON_VECTOR)
+        .when(words >= k_thr, REASON_KEYWORD)
+        .otherwise(REASON_BELOW)
+    )
 
 
 def gate(queries: DataFrame, candidates: DataFrame, v_thr: float = 0.60, k_thr: float = 0.40) -> DataFrame:
@@ -130,12 +158,7 @@ def gate(queries: DataFrame, candidates: DataFrame, v_thr: float = 0.60, k_thr:
         F.max("keyword_coverage").alias("best_keyword_coverage"),
     )
     v, c = F.col("best_vector_score"), F.col("best_keyword_coverage")
-    reason = (
-        F.when(F.col("_n").isNull(), REASON_NO_CANDIDATES)
-        .when(v >= v_thr, REASON_VECTOR)
-        .when(c >= k_thr, REASON_KEYWORD)
-        .otherwise(REASON_BELOW)
-    )
+    reason = reason_of(F.col("_n"), v, c, v_thr, k_thr)
     return queries.select("query_id").join(best, "query_id", "left").select(
         "query_id",
         reason.isin(REASON_VECTOR, REASON_KEYWORD).alias("passed"),
@@ -158,10 +181,12 @@ def kept_by_budget(items: Column, max_chars: int, min_keep: int = 1) -> Column:
     return F.aggregate(items, start, step, lambda acc: acc.kept)
 
 
-def trim_to_budget(df: DataFrame, max_chars: int = 8000, min_keep: int = 1, length: str = "context_chars") -> DataFrame:
+def trim_to_budget(
+    df: DataFrame, max_chars: int = 8000, min_keep: int = 1, length: str = "context_chars", within: Sequence[str] = ()
+) -> DataFrame:
     """Flag (``fits``) the rows of every query that fit the character budget, in ``rank`` order."""
     item = F.struct(F.col("rank").cast("int").alias("pos"), F.col(length).cast("long").alias("len"))
-    items = F.array_sort(F.collect_list(item).over(BY_QUERY))
+    items = F.array_sort(F.collect_list(item).over(by_query(within)))
     return df.withColumn("fits", F.array_contains(kept_by_budget(items, max_chars, min_keep), F.col("rank").cast("int")))
 
 

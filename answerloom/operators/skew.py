@@ -103,5 +103,12 @@ def spread_out(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def explode_computed(df: DataFrame, array: str, name: str) -> DataFrame:
+    """Explode a computed array column. A plain ``explode`` makes the optimizer add a ``size > 0`` filter that
+    computes the array a second time, below any repartitioning; the outer form with a NULL filter does not."""
+    rest = [c for c in df.columns if c != array]
+    return df.select(*rest, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)

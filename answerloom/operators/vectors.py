@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from answerloom.functions.filters import where_to_column
-from answerloom.operators.skew import SALTS, measure, top_per_group
+from answerloom.operators.skew import SALTS, top_per_group
 
 #: Query vectors above these bounds are matched block by block instead of being sent to every task.
 MAX_SHARED_QUERIES = 20_000
@@ -205,7 +205,7 @@ def vector_topk(
     queries(query_id, embedding[, kb_id]) and vectors(kb_id, chunk_key, embedding, ...). A query with ``kb_id`` looks
     into that collection only. ``where`` filters the vectors before scoring and is pushed into their scan.
 
-    Up to ``MAX_SHARED_QUERIES`` measured queries are sent to every task, which scores its own vectors batch by batch
+    A query table of at most ``MAX_SHARED_QUERIES`` rows and ``MAX_SHARED_BYTES`` is sent to every task, which scores its own vectors batch by batch
     and keeps ``k`` per query: the vectors are not shuffled. A larger query table is cut into blocks that meet blocks
     of vectors in a co-grouped join; each meeting again keeps only ``k`` per query. Both ways are exact.
     """
@@ -214,11 +214,11 @@ def vector_topk(
     vectors = vectors.filter(where_to_column(where, vectors.schema)).select("kb_id", "chunk_key", "embedding")
     bound = ["kb_id"] if "kb_id" in queries.columns else []
     queries = queries.select("query_id", *bound, "embedding").filter(F.col("embedding").isNotNull())
-    if shared is None:
-        rows, size = measure(queries, MAX_SHARED_QUERIES)
-        shared = rows <= MAX_SHARED_QUERIES and size <= MAX_SHARED_BYTES
-    find = _topk_shared if shared else _topk_blocks
-    partial = find(queries, vectors, k, per_kb)
+    side = queries.limit(MAX_SHARED_QUERIES + 1).toArrow() if shared is not False else None
+    if side is not None and side.num_rows <= MAX_SHARED_QUERIES and side.nbytes <= MAX_SHARED_BYTES:
+        partial = _topk_shared(queries, side, vectors, k, per_kb)
+    else:
+        partial = _topk_blocks(queries, vectors, k, per_kb)
     group = ["query_id", "kb_id"] if per_kb else ["query_id"]
     return top_per_group(partial, group, [F.desc("vector_score"), F.asc("chunk_key")], k, "vector_rank")
 
@@ -228,9 +228,8 @@ def _hit_schema(queries: DataFrame, vectors: DataFrame) -> str:
     return f"query_id {q['query_id']}, kb_id {v['kb_id']}, chunk_key {v['chunk_key']}, vector_score double"
 
 
-def _topk_shared(queries: DataFrame, vectors: DataFrame, k: int, per_kb: bool) -> DataFrame:
-    spark = queries.sparkSession
-    side = spark.sparkContext.broadcast(_Queries(queries.toArrow()))  # measured to be small by the caller
+def _topk_shared(queries: DataFrame, table: pa.Table, vectors: DataFrame, k: int, per_kb: bool) -> DataFrame:
+    side = queries.sparkSession.sparkContext.broadcast(_Queries(table))  # measured to be small by the caller
     group = ["query_id", "kb_id"] if per_kb else ["query_id"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

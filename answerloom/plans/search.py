@@ -99,13 +99,17 @@ def _empty(corpus: Corpus, extra: str, queries: DataFrame) -> DataFrame:
     return queries.sparkSession.createDataFrame([], schema)
 
 
-def enrich(candidates: DataFrame, corpus: Corpus, small: bool | None = None) -> DataFrame:
+def enrich(candidates: DataFrame, queries: DataFrame, corpus: Corpus, small: bool | None = None) -> DataFrame:
     """Join candidates to live chunks of live documents; ``orphan`` marks keys that have none.
 
     The candidate keys go to the chunk table (broadcast when they are few), so its wide text column is read in place
-    and never shuffled; the collection is part of the key, which prunes a chunk table partitioned by it.
+    and never shuffled as a whole; the collection is part of the key, which prunes a chunk table partitioned by it.
+    Coverage is taken there too, beside the text, in as many tasks as the chunk scan has.
     """
-    keys = candidates.select("query_id", "kb_id", "chunk_key")
+    terms = queries.select("query_id", T.query_terms("question").alias("q_terms"))
+    keys = bounded_join(
+        candidates.select("query_id", "kb_id", "chunk_key"), terms, ["query_id"], spread=["chunk_key"], small_is_small=small
+    )
     cols = ["doc_id", "chunk_index", "content", "parent_content", "section_path", "page_no"]
     chunks = corpus.chunks
     if "deleted_at" in chunks.columns:
@@ -120,33 +124,49 @@ def enrich(candidates: DataFrame, corpus: Corpus, small: bool | None = None) ->
         found = found.drop("doc_name").join(docs, "doc_id")
     elif not has_name:
         found = found.withColumn("doc_name", F.lit(None).cast("string"))
-    found = found.withColumn("context_text", F.coalesce("parent_content", "content")).drop("parent_content", "kb_id")
+    context = F.coalesce("parent_content", "content")
+    found = found.select(
+        "query_id", "chunk_key", "doc_id", "doc_name", "chunk_index", "content", "section_path", "page_no",
+        context.alias("context_text"),
+        F.char_length(context).alias("context_chars"),
+        T.coverage_of(F.col("q_terms"), T.tokenize("content")).alias("keyword_coverage"),
+        T.coverage_of(F.col("q_terms"), T.tokenize(R.section_text())).alias("section_coverage"),
+    )
     return candidates.join(found, ["query_id", "chunk_key"], "left").withColumn("orphan", F.col("doc_id").isNull())
 
 
-def rank_candidates(queries: DataFrame, found: DataFrame, cfg: SearchConfig, external: DataFrame | None = None) -> DataFrame:
-    """Coverage, fusion, scaling, cut and rerank of enriched candidates; ``kept`` marks those after the cut."""
+def rank_candidates(found: DataFrame, cfg: SearchConfig, external: DataFrame | None = None) -> DataFrame:
+    """Run enriched candidates through fusion, cut, rerank, gate and budget.
+
+    No row is dropped: the flags ``orphan``, ``kept`` (after the cut), ``top`` (gate open and within ``top_k``) and
+    ``fits`` (within the budget) tell how far it came, so hits, gate and counters read one and the same frame. Flags
+    only subdivide a query, hence the windows share one exchange by ``query_id``.
+    """
     mode = cfg.resolved_mode
-    terms = queries.select("query_id", T.query_terms("question").alias("q_terms"))
-    live = found.filter(~F.col("orphan")).join(terms, "query_id")
-    live = live.withColumn("keyword_coverage", T.coverage_of(F.col("q_terms"), T.tokenize("content")))
+    df = found
+    side = ["orphan"]
     if mode == "vector":
-        fused = live.withColumn("fused", F.coalesce("vector_score", F.lit(0.0)))
+        df = df.withColumn("fused", F.coalesce("vector_score", F.lit(0.0)))
     elif mode == "bm25":
-        fused = live.withColumn("fused", F.coalesce("bm25_score", F.lit(0.0)))
+        df = df.withColumn("fused", F.coalesce("bm25_score", F.lit(0.0)))
     elif cfg.fusion == "weighted":
-        fused = R.fuse_weighted(live, cfg.alpha)
+        df = R.fuse_weighted(df, cfg.alpha, side)
     else:
-        fused = R.fuse_rrf(live, k=cfg.rrf_k)
-    scored = R.normalize_scores(fused)
+        df = R.fuse_rrf(df, k=cfg.rrf_k, within=side)
+    df = R.normalize_scores(df, side)
     ratio = cfg.autocut_ratio if cfg.use_autocut else 0.0
-    cut = R.autocut(scored, ratio, 1, cfg.pool if cfg.use_autocut else None)
+    df = R.autocut(df, ratio, 1, cfg.pool if cfg.use_autocut else None, side)
+    df = df.withColumn("kept", F.col("kept") & ~F.col("orphan"))
     if mode == "hybrid_rerank" and cfg.use_rerank:
-        kept = cut.filter("kept")
-        reranked = R.rerank_heuristic(kept) if external is None else R.rerank_external(kept, external, cfg.rerank_top_n)
-        rest = cut.filter("NOT kept").withColumn("rerank_score", F.lit(None).cast("double"))
-        return reranked.unionByName(rest)
-    return cut.withColumn("rerank_score", F.lit(None).cast("double"))
+        kept = ["kept"]
+        df = R.rerank_heuristic(df, kept) if external is None else R.rerank_external(df, external, cfg.rerank_top_n, kept)
+    else:
+        df = df.withColumn("rerank_score", F.lit(None).cast("double"))
+    rank = R.rank_of(F.col("score"), within=["kept"])
+    is_open = R.passes(cfg.vector_min_score, cfg.keyword_min_coverage, F.col("kept"))
+    df = df.withColumn("rank", rank).withColumn("top", F.col("kept") & is_open & (F.col("rank") <= cfg.top_k))
+    df = R.trim_to_budget(df, cfg.max_context_chars, within=["top"])
+    return df.withColumn("fits", F.col("top") & F.col("fits"))
 
 
 def hybrid_search(
@@ -160,37 +180,35 @@ def hybrid_search(
 
     Candidates are at most ``2 x fetch_k`` per query. Their order facts: the gate looks at the list after the cut and
     rerank but before ``top_k``; a closed gate empties the hits; coverage reads the chunk, the budget its context.
+    A caller that needs several of the results persists ``candidates`` and derives them with ``results_of``.
     """
     n = queries.count()
     small = within_bounds(n * 2 * cfg.pool, n * 2 * cfg.pool * 128)
-    found = enrich(recall(queries, corpus, cfg, where), corpus, small)
-    ranked = rank_candidates(queries, found, cfg, external)
-    kept = ranked.filter("kept")
-    gates = R.gate(queries, kept, cfg.vector_min_score, cfg.keyword_min_coverage)
-    open_ids = gates.filter("passed").select("query_id")
-    top = (
-        kept.join(open_ids, "query_id", "left_semi")
-        .withColumn("rank", R.rank_of(F.col("score")))
-        .filter(F.col("rank") <= cfg.top_k)
-        .withColumn("context_chars", F.char_length("context_text"))
-    )
-    trimmed = R.trim_to_budget(top, cfg.max_context_chars)
-    hits = trimmed.filter("fits").withColumn("rank", R.rank_of(F.col("score"))).drop("q_terms", "kept", "orphan", "fused", "fits")
-    return SearchResult(hits, gates, debug_counts(queries, found, ranked, gates, trimmed, cfg), ranked)
+    found = enrich(recall(queries, corpus, cfg, where), queries, corpus, small)
+    return results_of(queries, rank_candidates(found, cfg, external), cfg)
 
 
-def debug_counts(
-    queries: DataFrame, found: DataFrame, ranked: DataFrame, gates: DataFrame, trimmed: DataFrame, cfg: SearchConfig
-) -> DataFrame:
+def results_of(queries: DataFrame, ranked: DataFrame, cfg: SearchConfig) -> SearchResult:
+    flags = ["section_coverage", "kept", "orphan", "fused", "fits", "top"]
+    hits = ranked.filter("fits").drop("rank").withColumn("rank", R.rank_of(F.col("score"))).drop(*flags)
+    gates = R.gate(queries, ranked.filter("kept"), cfg.vector_min_score, cfg.keyword_min_coverage)
+    return SearchResult(hits, gates, debug_counts(queries, ranked, cfg), ranked)
+
+
+def debug_counts(queries: DataFrame, ranked: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Stage counters per query; queries that found nothing report zeros, a skipped side reports why."""
-    recalled = found.groupBy("query_id").agg(
+    kept = F.col("kept")
+    counted = ranked.groupBy("query_id").agg(
         F.count("vector_score").alias("vector_candidates"),
         F.count("bm25_score").alias("bm25_candidates"),
-        F.count_if("orphan").alias("dropped_orphans"),
         F.count_if(~F.col("orphan")).alias("fused"),
+        F.count_if(kept).alias("after_autocut"),
+        F.count_if(kept).alias("after_rerank"),
+        F.count_if(F.col("top") & ~F.col("fits")).alias("dropped_by_budget"),
+        F.count_if("orphan").alias("dropped_orphans"),
+        F.max(F.when(kept, F.col("vector_score"))).alias("_v"),
+        F.max(F.when(kept, F.col("keyword_coverage"))).alias("_c"),
     )
-    cut = ranked.groupBy("query_id").agg(F.count_if("kept").alias("after_autocut"))
-    budget = trimmed.groupBy("query_id").agg(F.count_if(~F.col("fits")).alias("dropped_by_budget"))
     error = F.lit(None).cast("string")
     if cfg.resolved_mode != "bm25":
         if not cfg.all_kbs:
@@ -198,18 +216,13 @@ def debug_counts(
             error = F.when(F.coalesce(no_kb, F.lit(True)), NO_KB)
         if "embedding" in queries.columns:
             error = F.when(F.col("embedding").isNull(), NO_VECTOR).otherwise(error)
-    base = queries.select("query_id", error.alias("vector_error"))
-    joined = base.join(recalled, "query_id", "left").join(cut, "query_id", "left").join(budget, "query_id", "left")
-    joined = joined.join(gates.select("query_id", "passed", "reason"), "query_id")
+    joined = queries.select("query_id", error.alias("vector_error")).join(counted, "query_id", "left")
+    reason = R.reason_of(F.col("after_autocut"), F.col("_v"), F.col("_c"), cfg.vector_min_score, cfg.keyword_min_coverage)
     zero = F.lit(0).cast("long")
-    count = {c: F.coalesce(c, zero) for c in ("vector_candidates", "bm25_candidates", "fused", "after_autocut", "dropped_orphans", "dropped_by_budget")}
-    out = joined.withColumns(count)
-    return out.select(
-        "query_id", "vector_candidates", "bm25_candidates", "fused", "after_autocut",
-        F.col("after_autocut").alias("after_rerank"),
-        F.when(~F.col("passed"), F.col("after_autocut")).otherwise(zero).alias("dropped_by_gate"),
-        "dropped_by_budget", "dropped_orphans", "vector_error", "reason",
-    )
+    counts = ["vector_candidates", "bm25_candidates", "fused", "after_autocut", "after_rerank", "dropped_by_budget", "dropped_orphans"]
+    out = joined.withColumn("reason", reason).withColumns({c: F.coalesce(c, zero) for c in counts})
+    closed = F.when(F.col("reason") == R.REASON_BELOW, F.col("after_autocut")).otherwise(zero)
+    return out.select("query_id", *counts, closed.alias("dropped_by_gate"), "vector_error", "reason")
 
 
 def hit_rows(hits: DataFrame) -> DataFrame:

@@ -80,3 +80,110 @@ bm AS (SELECT query_id, kb_id, chunk_key, round(sum(
        FROM qt JOIN ts USING (term) JOIN cs USING (kb_id) JOIN ps USING (kb_id, term) JOIN dl USING (kb_id, chunk_key)
        GROUP BY ALL)
 """
+
+
+# --- usage views ------------------------------------------------------------------------------------------------
+MODELS = ["deepseek-chat", "gpt-4o-mini-2024", "GPT-4o", "local-model"]
+PRICES = [
+    ("gpt-4o-mini", "0.00015", "0.0006"),
+    ("gpt-4o", "0.0025", "0.01"),
+    ("deepseek-chat", "0.00027", "0.0011"),
+]
+
+
+def _price_sql(model: str, position: int) -> str:
+    default = ("0.00014", "0.00028")[position]
+    cases = " ".join(f"WHEN starts_with(lower({model}), '{p[0]}') THEN {p[position + 1]}" for p in PRICES)
+    return f"(CASE {cases} ELSE {default} END)::DECIMAL(12, 8)"
+
+
+def cost_sql(model: str, p: str, c: str) -> str:
+    return (
+        f"round((({_price_sql(model, 0)} * greatest({p}, 0)::DECIMAL(12, 0) + {_price_sql(model, 1)} * greatest({c}, 0)::DECIMAL(12, 0))"
+        f" * 0.001::DECIMAL(4, 3))::DECIMAL(30, 11), 6)::DECIMAL(12, 6)"
+    )
+
+
+MODEL_SQL = "CASE {x} % 4 WHEN 0 THEN 'deepseek-chat' WHEN 1 THEN 'gpt-4o-mini-2024' WHEN 2 THEN 'GPT-4o' ELSE 'local-model' END"
+
+USAGE_CTE = f"""
+tr AS (SELECT *, {cost_sql('model', 'prompt_tokens', 'completion_tokens')} AS cost_usd FROM (
+  SELECT event_id AS trace_id, ts AS created_at, CASE WHEN event_type <> 'error' THEN event_type END AS mode,
+         CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, floor(value)::INT AS latency_ms,
+         (event_id % 4096)::INT AS prompt_tokens, (event_id % 512)::INT AS completion_tokens, (event_id % 4)::INT AS llm_calls,
+         event_id % 17 = 0 AS refusal, (event_id % 6)::INT AS source_count, (1 + event_id % 3)::INT AS retrieval_rounds,
+         {MODEL_SQL.format(x='user_id')} AS model FROM events)),
+sp AS (SELECT trace_id, created_at, 0 AS seq, 'retrieve' AS name, 'retrieval' AS span_type, latency_ms // 2 AS duration_ms, 'ok' AS status FROM tr
+  UNION ALL SELECT trace_id, created_at, 1, 'Rerank', 'retrieval', latency_ms // 5, 'ok' FROM tr
+  UNION ALL SELECT trace_id, created_at, 2, 'generate.llm', 'llm', latency_ms // 4, status FROM tr
+  UNION ALL SELECT trace_id, created_at, 3, 'reflect', 'node', latency_ms // 20, CASE WHEN trace_id % 10 = 0 THEN 'error' ELSE 'ok' END
+            FROM tr WHERE trace_id % 2 = 0),
+me AS (SELECT *, {cost_sql('model', 'prompt_tokens', 'completion_tokens')} AS cost_usd FROM (
+  SELECT conv_id, turn, conv_id * 1000 + turn AS message_id, conv_id AS trace_id, role, text,
+         {MODEL_SQL.format(x='conv_id')} AS model, (ceil(length(text) / 4.0) * 3)::INT AS prompt_tokens,
+         ceil(length(text) / 4.0)::INT AS completion_tokens FROM conversations))
+"""
+
+
+def _model(col: str):
+    out = F.lit(MODELS[3])
+    for i in (2, 1, 0):
+        out = F.when(F.col(col) % 4 == i, MODELS[i]).otherwise(out)
+    return out
+
+
+def traces(spark: SparkSession, sf: str) -> DataFrame:
+    from answerloom.operators.usage import with_cost
+
+    return with_cost(traces_of(table(spark, sf, "events")), "model", PRICES)
+
+
+def traces_of(events: DataFrame) -> DataFrame:
+    e = F.col("event_id")
+    return events.select(
+        e.alias("trace_id"),
+        F.col("ts").cast("timestamp_ntz").alias("created_at"),
+        F.when(F.col("event_type") != "error", F.col("event_type")).alias("mode"),
+        F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"),
+        F.floor("value").cast("int").alias("latency_ms"),
+        (e % 4096).cast("int").alias("prompt_tokens"),
+        (e % 512).cast("int").alias("completion_tokens"),
+        (e % 4).cast("int").alias("llm_calls"),
+        (e % 17 == 0).alias("refusal"),
+        (e % 6).cast("int").alias("source_count"),
+        (1 + e % 3).cast("int").alias("retrieval_rounds"),
+        _model("user_id").alias("model"),
+    )
+
+
+def spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Three spans per trace and a reflect span for every second one, from one scan."""
+    from pyspark.sql import Column
+
+    t = traces_of(table(spark, sf, "events"))
+
+    def span(seq: int, name: str, kind: str, share: int, status: Column) -> Column:
+        ms = F.floor(F.col("latency_ms") / share).cast("int")
+        return F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("name"), F.lit(kind).alias("span_type"), ms.alias("duration_ms"), status.alias("status"))
+
+    ok = F.lit("ok")
+    reflect = F.when(
+        F.col("trace_id") % 2 == 0,
+        span(3, "reflect", "node", 20, F.when(F.col("trace_id") % 10 == 0, "error").otherwise("ok")),
+    )
+    all_spans = F.array_compact(
+        F.array(span(0, "retrieve", "retrieval", 2, ok), span(1, "Rerank", "retrieval", 5, ok), span(2, "generate.llm", "llm", 4, F.col("status")), reflect)
+    )
+    return t.select("trace_id", "created_at", F.inline(all_spans))
+
+
+def messages(spark: SparkSession, sf: str) -> DataFrame:
+    from answerloom.functions.text import estimate_tokens
+    from answerloom.operators.usage import with_cost
+
+    c = table(spark, sf, "conversations").select(
+        "conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.col("conv_id").alias("trace_id"),
+        "role", "text", _model("conv_id").alias("model"), (estimate_tokens("text") * 3).alias("prompt_tokens"),
+        estimate_tokens("text").alias("completion_tokens"),
+    )
+    return with_cost(c, "model", PRICES)
