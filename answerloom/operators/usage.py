@@ -285,10 +285,13 @@ def trace_messages(messages: DataFrame, limit: int = 50, size: int = 300) -> Dat
 
 
 def trace_detail(traces: DataFrame, spans: DataFrame, messages: DataFrame) -> DataFrame:
-    """Trace with its spans by sequence and its messages by id, as arrays."""
-    s = spans.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "span_type", "duration_ms", "status"))).alias("spans"))
-    m = trace_messages(messages).groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("message_id", "role", "content"))).alias("messages"))
-    return traces.join(s, "trace_id", "left").join(m, "trace_id", "left")
+    """Parts of every trace as rows: its spans by sequence, then its messages by id; a bare trace keeps one row.
+
+    Rows instead of nested arrays, so a trace with very many spans is never gathered in one place.
+    """
+    s = spans.select("trace_id", F.lit("span").alias("part"), F.col("seq").cast("long").alias("pos"), F.col("name").alias("label"), F.col("duration_ms").cast("long").alias("amount"))
+    m = trace_messages(messages).select("trace_id", F.lit("message").alias("part"), F.col("pos").cast("long"), F.col("role").alias("label"), F.char_length("content").cast("long").alias("amount"))
+    return traces.select("trace_id", "status").join(s.unionByName(m), "trace_id", "left")
 
 
 def citation_view(citations: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:

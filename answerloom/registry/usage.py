@@ -187,15 +187,13 @@ def trace_messages(spark, sf):
 
 @query(
     "trace_detail",
-    f"""WITH {USAGE_CTE}, s AS (SELECT trace_id, string_agg(seq || ':' || name || ':' || duration_ms, ',' ORDER BY seq) AS spans FROM sp GROUP BY 1),
-        m AS (SELECT trace_id, count(*) AS n_messages FROM me GROUP BY 1)
-        SELECT trace_id, status, spans, coalesce(n_messages, 0) AS n_messages FROM tr LEFT JOIN s USING (trace_id) LEFT JOIN m USING (trace_id)""",
+    f"""WITH {USAGE_CTE}, p AS (SELECT trace_id, 'span' AS part, seq::BIGINT AS pos, name AS label, duration_ms::BIGINT AS amount FROM sp UNION ALL
+          SELECT trace_id, 'message', pos, role, amount FROM (SELECT trace_id, role, row_number() OVER (PARTITION BY trace_id ORDER BY message_id) AS pos,
+            least(length(text), 301)::BIGINT AS amount FROM me) WHERE pos <= 50)
+        SELECT trace_id, status, part, pos, label, amount FROM tr LEFT JOIN p USING (trace_id)""",
 )
 def trace_detail(spark, sf):
-    d = U.trace_detail(traces(spark, sf), spans(spark, sf), messages(spark, sf))
-    parts = F.transform("spans", lambda x: F.concat_ws(":", x.seq.cast("string"), x.name, x.duration_ms.cast("string")))
-    n = F.coalesce(F.size("messages"), F.lit(0))
-    return d.select("trace_id", "status", F.array_join(parts, ",").alias("spans"), F.greatest(n, F.lit(0)).cast("long").alias("n_messages"))
+    return U.trace_detail(traces(spark, sf), spans(spark, sf), messages(spark, sf))
 
 
 @query(
