@@ -148,7 +148,7 @@ def ingest_report(documents: DataFrame, chunks: DataFrame, rejects: DataFrame, p
         F.count("*").alias("chunk_count"), F.sum("char_count").alias("char_count"), F.sum("token_count").alias("token_count")
     )
     reasons = rejects.groupBy("doc_id").agg(F.first("reason").alias("_reason"))
-    joined = documents.join(totals, "doc_id", "left").join(reasons, "doc_id", "left")
+    joined = documents.select("doc_id", "kb_id", "text").join(totals, "doc_id", "left").join(reasons, "doc_id", "left")
     failed = F.col("chunk_count").isNull()
     zero = F.lit(0).cast("long")
     return joined.select(
@@ -193,7 +193,7 @@ def consistency(chunks: DataFrame, vectors: DataFrame, stats: DataFrame) -> Data
     per_key = every.groupBy("kb_id", "chunk_key").agg(*[F.max(n).alias(n) for n in ("c", "v", "b")])
     return per_key.groupBy("kb_id").agg(
         F.sum("c").alias("chunks"), F.sum("v").alias("vectors"), F.sum("b").alias("indexed"),
-        F.count_if("c + v + b < 3").alias("different_keys"),
+        F.count_if(F.col("c") + F.col("v") + F.col("b") < 3).alias("different_keys"),
     ).withColumn("consistent", F.col("different_keys") == 0)
 
 

@@ -63,47 +63,81 @@ def doc_ident(name: Column | str) -> Column:
     return F.when(stem != "", stem).otherwise(key)
 
 
-def expected_keys(docs: Column, sections: Column) -> Column:
-    return F.array_distinct(F.concat(F.flatten(F.transform(docs, T.doc_keys)), F.flatten(F.transform(sections, T.section_keys))))
+def expectations(cases: DataFrame, expected: DataFrame, alias_compat: bool = False) -> DataFrame:
+    """(case_id, id) rows to match hits against: ``doc:``/``section:`` keys decide hits, ``id:`` rows count as relevant
+    documents. cases(case_id, expected_sections), expected(case_id, expected_doc).
+
+    Expectations stay rows: a passage copied into very many documents makes many rows, never one long array.
+    """
+    doc_ids = (
+        F.transform(T.doc_keys("expected_doc"), lambda k: F.concat(F.lit("id:"), k))
+        if alias_compat
+        else F.array(F.concat(F.lit("id:"), doc_ident("expected_doc")))
+    )
+    docs = expected.select("case_id", F.explode_outer(F.concat(T.doc_keys("expected_doc"), doc_ids)).alias("id"))
+    sections = F.flatten(F.transform("expected_sections", T.section_keys))
+    return docs.unionByName(cases.select("case_id", F.explode_outer(sections).alias("id"))).filter("id IS NOT NULL").distinct()
+
+
+def _hit_ids(hits: DataFrame, alias_compat: bool) -> DataFrame:
+    """(mode, case_id, rank, ord, id): match keys with ord 0, then the ids a hit contributes to the rank metrics."""
+    keys = F.concat(T.doc_keys("doc_name"), T.section_keys("section_path"))
+    if alias_compat:
+        names = F.transform(T.doc_keys("doc_name"), lambda k: F.concat(F.lit("id:"), k))
+        ids = F.concat(F.array(F.concat(F.lit("id:#"), F.col("doc_id").cast("string"))), F.array_sort(names))
+    else:
+        ids = F.array(F.concat(F.lit("id:"), doc_ident("doc_name")))
+    cells = F.concat(
+        F.transform(keys, lambda k: F.struct(F.lit(0).alias("ord"), k.alias("id"))),
+        F.transform(ids, lambda x, i: F.struct((i + 1).cast("int").alias("ord"), x.alias("id"))),
+    )
+    return hits.select("mode", "case_id", "rank", F.inline(cells))
 
 
-def match_expected(hits: DataFrame, cases: DataFrame) -> DataFrame:
-    """Flag (``hit``) hits whose document or section key is expected by their case; cases ride along as the small side."""
-    want = cases.select("case_id", expected_keys(F.col("expected_docs"), F.col("expected_sections")).alias("_want"))
-    own = F.concat(T.doc_keys("doc_name"), T.section_keys("section_path"))
-    return bounded_join(hits, want, ["case_id"], spread=["rank"]).withColumn("hit", F.arrays_overlap(own, F.col("_want"))).drop("_want")
+def _flag_matches(ids: DataFrame, want: DataFrame, small: bool | None = None) -> DataFrame:
+    """Add ``m``: is (case_id, id) expected? Only expectations that some hit asks for are looked at."""
+    asked = ids.select("case_id", "id").distinct()
+    found = bounded_join(want, asked, ["case_id", "id"], "left_semi", spread=["id"], small_is_small=small)
+    return ids.join(found.withColumn("_m", F.lit(True)), ["case_id", "id"], "left").withColumn("m", F.coalesce("_m", F.lit(False))).drop("_m")
 
 
-def score_cases(hits: DataFrame, cases: DataFrame, k: int, alias_compat: bool = False) -> DataFrame:
+def match_expected(hits: DataFrame, want: DataFrame) -> DataFrame:
+    """Flag (``hit``) hits whose document or section key their case expects."""
+    keys = _flag_matches(_hit_ids(hits, False).filter("ord = 0"), want)
+    flags = keys.groupBy("mode", "case_id", "rank").agg(F.max("m").alias("hit"))
+    return hits.join(flags, ["mode", "case_id", "rank"])
+
+
+def score_cases(hits: DataFrame, cases: DataFrame, want: DataFrame, k: int, alias_compat: bool = False) -> DataFrame:
     """hit, recall, MRR and nDCG per (mode, case); cases without hits score 0 in every mode.
 
-    hits(mode, case_id, rank, doc_id, doc_name, section_path). Rank metrics see one id per document; with
-    ``alias_compat`` every hit contributes its id, name and stem in turn, as older reports were scored.
+    hits(mode, case_id, rank, doc_id, doc_name, section_path), at most ``top_k`` per case. Rank metrics see one id per
+    document; with ``alias_compat`` every hit contributes its number, stem and name in turn, as older reports did.
     """
-    own = F.concat(T.doc_keys("doc_name"), T.section_keys("section_path"))
-    if alias_compat:
-        names = F.transform(T.doc_keys("doc_name"), lambda x: F.concat(F.lit("name:"), x))
-        ids = F.array_sort(F.concat(F.array(F.concat(F.lit("doc-id:"), F.col("doc_id").cast("string"))), names))
-        relevant = F.flatten(F.transform("expected_docs", lambda d: F.transform(T.doc_keys(d), lambda x: F.concat(F.lit("name:"), x))))
-    else:
-        ids = F.array(doc_ident("doc_name"))
-        relevant = F.transform("expected_docs", doc_ident)
-    item = F.struct("rank", ids.alias("ids"), own.alias("keys"))
-    per_case = hits.groupBy("mode", "case_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    modes = F.explode(F.array(*[F.lit(m) for m in MODES])).alias("mode")
-    base = cases.select("case_id", "expected_docs", "expected_sections", modes)
-    df = base.join(per_case, ["mode", "case_id"], "left")
-    retrieved = F.coalesce(F.flatten(F.transform("items", lambda x: x.ids)), F.array().cast("array<string>"))
-    keys = F.coalesce(F.flatten(F.transform("items", lambda x: x["keys"])), F.array().cast("array<string>"))
-    df = df.select(
-        "mode", "case_id", retrieved.alias("r"), relevant.alias("rel"), keys.alias("have"),
-        expected_keys(F.col("expected_docs"), F.col("expected_sections")).alias("want"),
+    flagged = _flag_matches(_hit_ids(hits, alias_compat), want)
+    once = flagged.filter("ord > 0").groupBy("mode", "case_id", "id").agg(
+        F.min(F.struct("rank", "ord")).alias("pos"), F.max("m").alias("m")
+    )
+    order = W.partitionBy("mode", "case_id").orderBy("pos")
+    ranked = once.withColumn("r", F.row_number().over(order))
+    good = F.col("m") & (F.col("r") <= k)
+    metrics = ranked.groupBy("mode", "case_id").agg(
+        F.count_if(good).alias("got"), F.min(F.when(F.col("m"), F.col("r"))).alias("first"),
+        F.sum(F.when(good, 1.0 / F.log2(F.col("r") + 1.0))).alias("dcg"),
     )
-    r, rel = F.col("r"), F.col("rel")
+    hit = flagged.filter("ord = 0").groupBy("mode", "case_id").agg(F.max("m").alias("hit"))
+    n_rel = want.filter(F.col("id").startswith("id:")).groupBy("case_id").agg(F.count("*").cast("int").alias("n_rel"))
+    modes = F.explode(F.array(*[F.lit(m) for m in MODES])).alias("mode")
+    df = cases.select("case_id", modes).join(n_rel, "case_id", "left")
+    df = df.join(metrics, ["mode", "case_id"], "left").join(hit, ["mode", "case_id"], "left")
+    some = F.coalesce("n_rel", F.lit(0)) > 0
+    ideal = _gain(F.sequence(F.lit(1), F.greatest(F.least(F.lit(k), F.col("n_rel")), F.lit(1))))
+    zero = F.lit(0.0)
     return df.select(
-        "mode", "case_id",
-        F.coalesce(F.arrays_overlap("have", "want"), F.lit(False)).alias("hit"),
-        recall_at_k(r, rel, k).alias("recall_at_k"), mrr(r, rel).alias("mrr"), ndcg_at_k(r, rel, k).alias("ndcg"),
+        "mode", "case_id", F.coalesce("hit", F.lit(False)).alias("hit"),
+        F.when(some & F.lit(k > 0), F.coalesce("got", F.lit(0)) / F.col("n_rel")).otherwise(zero).alias("recall_at_k"),
+        F.coalesce(1.0 / F.col("first"), zero).alias("mrr"),
+        F.when(some & F.lit(k > 0), F.coalesce("dcg", zero) / ideal).otherwise(zero).alias("ndcg"),
     )
 
 

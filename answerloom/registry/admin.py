@@ -227,18 +227,17 @@ def metrics_text(spark, sf):
 
 @query(
     "case_lines",
-    """SELECT conv_id AS file, line_no, CASE WHEN k = 2 THEN 'invalid JSON' WHEN k = 3 THEN 'not a JSON object' WHEN k = 4 THEN 'question is required' END AS reason,
+    """SELECT conv_id * 1000 + turn AS file, (2 + k)::INT AS line_no, CASE WHEN k = 2 THEN 'invalid JSON' WHEN k = 3 THEN 'not a JSON object' WHEN k = 4 THEN 'question is required' END AS reason,
               CASE WHEN k = 1 THEN trim(text, E' \\t\\n\\r') END AS question, CASE WHEN k = 1 THEN 'a,b' END AS sections
-       FROM (SELECT conv_id, turn, text, (2 + turn * 4 + k - 1 + 1)::INT AS line_no, k FROM conversations, (SELECT unnest([1, 2, 3, 4]) AS k))""",
+       FROM conversations, (SELECT unnest([1, 2, 3, 4]) AS k)""",
 )
 def case_lines(spark, sf):
-    """Per conversation a case file: a comment, a blank line, then per turn a case and three kinds of bad lines."""
+    """Every message as a case file: a comment, a blank line, a case and three kinds of bad lines."""
     c = table(spark, sf, "conversations")
     good = F.to_json(F.struct(F.concat(F.lit("  "), "text", F.lit(" ")).alias("question"), F.array(F.lit(" a"), F.lit("b "), F.lit("a")).alias("sections"), F.lit("t").alias("tags")))
-    block = F.concat(good, F.lit('\n{"question": \n[1, 2]\n{"tags": null}'))
-    files = c.groupBy(F.col("conv_id").alias("file")).agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))).alias("bs"))
-    value = F.concat(F.lit("﻿# cases\n\n"), F.array_join(F.transform("bs", lambda x: x.b), "\n"))
-    parsed, bad = C.split_cases(files.select("file", value.alias("value")))
+    value = F.concat(F.lit("\ufeff# cases\n\n"), good, F.lit('\n{"question": \n[1, 2]\n{"tags": null}'))
+    files = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("file"), value.alias("value"))
+    parsed, bad = C.split_cases(files)
     cases, unusable = C.normalize_cases(parsed)
     none = F.lit(None).cast("string")
     rejected = bad.unionByName(unusable).select("file", "line_no", "reason", none.alias("question"), none.alias("sections"))

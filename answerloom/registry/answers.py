@@ -42,7 +42,7 @@ def candidate_grading(spark, sf):
 @query(
     "context_selection",
     f"""WITH {CAND_CTE} SELECT question_id, chunk_key, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_key)::INT AS rank
-        FROM (SELECT *, bool_or(relevant) OVER (PARTITION BY question_id) AS some FROM gr) WHERE CASE WHEN some THEN relevant ELSE rank <= 3 END""",
+        FROM (SELECT *, bool_or(relevant) OVER (PARTITION BY question_id) AS any_ok FROM gr) WHERE CASE WHEN any_ok THEN relevant ELSE rank <= 3 END""",
 )
 def context_selection(spark, sf):
     graded = R.grade(R.merge_candidates(candidates(spark, sf), 15), 0.97, 0.95)
@@ -51,14 +51,14 @@ def context_selection(spark, sf):
 
 @query(
     "query_cleanup",
-    r"""WITH q AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, CASE WHEN turn % 3 = 0 THEN NULL ELSE upper(trim(regexp_replace(text, '\s+', ' ', 'g'))) END AS u FROM conversations)
+    r"""WITH q AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, CASE WHEN turn % 3 = 0 THEN NULL ELSE 'about ' || trim(regexp_replace(text, '\s+', ' ', 'g')) END AS u FROM conversations)
         SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 1 WHEN t = u THEN 1 ELSE 2 END AS n, md5(CASE WHEN turn % 3 = 0 THEN t WHEN t = u THEN t ELSE t || '|' || u END) AS queries_md5 FROM q""",
 )
 def query_cleanup(spark, sf):
     c = table(spark, sf, "conversations")
     text = F.col("text")
     raw = F.when(F.col("turn") % 3 == 0, F.array(F.lit("  "))).otherwise(
-        F.array(F.concat(F.lit(" "), text, F.lit("  ")), text, F.lit(""), F.upper(text), F.upper(T.collapse_ws(text)))
+        F.array(F.concat(F.lit(" "), text, F.lit("  ")), text, F.lit(""), F.concat(F.lit("about  "), text), F.concat(F.lit("about "), T.collapse_ws(text)))
     )
     q = R.normalize_queries(raw, text)
     return c.select("conv_id", "turn", F.size(q).alias("n"), F.md5(F.array_join(q, "|")).alias("queries_md5"))
@@ -108,6 +108,6 @@ def citation_support(spark, sf):
 @query("answer_batch")
 def answer_batch(spark, sf):
     q, corpus = parts(spark, sf)
-    questions = q.select(F.col("query_id").alias("question_id"), "question", F.array("question", F.upper("question")).alias("rewrites"))
+    questions = q.select(F.col("query_id").alias("question_id"), "question", F.array(F.col("question"), F.concat(F.lit("about "), "question")).alias("rewrites"))
     out = P.answer_batch(questions, corpus, lambda c: hash_embed(c, DIM), SearchConfig(**CFG))
     return out.select("question_id", "answer", "cited_rank", "refused", "refusal", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"))

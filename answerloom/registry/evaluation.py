@@ -36,12 +36,11 @@ def verbatim(spark, sf):
 
 
 def cases(spark, sf):
-    found = verbatim(spark, sf).groupBy("item_id").agg(F.array_sort(F.collect_list(F.format_string("doc_%d.txt", "doc_id"))).alias("expected_docs"))
-    base = table(spark, sf, "benchmark").select("item_id")
-    none = F.array().cast("array<string>")
-    return base.join(found, "item_id", "left").select(
-        F.col("item_id").alias("case_id"), F.coalesce("expected_docs", none).alias("expected_docs"), none.alias("expected_sections")
-    )
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.array().cast("array<string>").alias("expected_sections"))
+
+
+def expected(spark, sf):
+    return verbatim(spark, sf).select(F.col("item_id").alias("case_id"), F.format_string("doc_%d.txt", "doc_id").alias("expected_doc"))
 
 
 _PAIRS = "vb AS (SELECT item_id, doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text))"
@@ -89,7 +88,7 @@ _ROUND = "SELECT mode, case_id, hit, round(recall_at_k, 6) AS recall_at_k, round
 
 def scored(spark, sf, alias_compat=False):
     q, corpus = parts(spark, sf)
-    return evaluate(cases(spark, sf), q, corpus, 5, cfg=SearchConfig(**CFG), alias_compat=alias_compat)
+    return evaluate(cases(spark, sf), expected(spark, sf), q, corpus, 5, cfg=SearchConfig(**CFG), alias_compat=alias_compat)
 
 
 def _six(df):
@@ -154,6 +153,23 @@ def citation_precision(spark, sf):
     return c.select("conv_id", "turn", F.round(p, 6).alias("precision"))
 
 
+@query(
+    "rank_metrics",
+    """WITH a AS (SELECT conv_id, turn, list_distinct([turn % 4, turn % 3 + 4, conv_id % 5, 1]) AS c, list_distinct([0, 1, conv_id % 7]) AS r FROM conversations),
+            p AS (SELECT conv_id, turn, c, r, list_filter(list_transform(r, lambda x: list_position(c, x)), lambda x: x IS NOT NULL AND x > 0) AS m FROM
+                  (SELECT conv_id, turn, r, [x[2] FOR x IN list_sort([[list_position(d, v), v] FOR v IN list_distinct(d)])] AS c FROM (SELECT conv_id, turn, r, [turn % 4, turn % 3 + 4, conv_id % 5, 1] AS d FROM a)))
+       SELECT conv_id, turn, round(len(list_filter(m, lambda x: x <= 3)) / len(r), 6) AS recall, round(coalesce(1.0 / list_min(m), 0), 6)::DOUBLE AS mrr,
+              round(coalesce(list_sum(list_transform(list_filter(m, lambda x: x <= 3), lambda x: 1 / log2(x + 1))), 0) / list_sum(list_transform(range(1, least(3, len(r)) + 1), lambda x: 1 / log2(x + 1))), 6) AS ndcg FROM p""",
+)
+def rank_metrics(spark, sf):
+    c = table(spark, sf, "conversations")
+    t, v = F.col("turn"), F.col("conv_id")
+    zero = F.lit(0).cast("long")
+    got, want = F.array(t % 4, t % 3 + 4, v % 5, zero + 1), F.array(zero, zero + 1, v % 7)
+    six = lambda x: F.round(x, 6)
+    return c.select("conv_id", "turn", six(E.recall_at_k(got, want, 3)).alias("recall"), six(E.mrr(got, want)).alias("mrr"), six(E.ndcg_at_k(got, want, 3)).alias("ndcg"))
+
+
 @query(
     "expectation_match",
     f"""WITH {_PAIRS} SELECT query_id AS case_id, rank, doc_id, EXISTS (SELECT 1 FROM vb WHERE vb.item_id = h.query_id AND vb.doc_id = h.doc_id) AS hit
@@ -162,7 +178,7 @@ def citation_precision(spark, sf):
 def expectation_match(spark, sf):
     q, corpus = parts(spark, sf)
     hits = search_modes(q, corpus, ["bm25"], SearchConfig(**CFG)).withColumnRenamed("query_id", "case_id")
-    return E.match_expected(hits, cases(spark, sf)).select("case_id", "rank", "doc_id", "hit")
+    return E.match_expected(hits, E.expectations(cases(spark, sf), expected(spark, sf))).select("case_id", "rank", "doc_id", "hit")
 
 
 @query(

@@ -20,7 +20,7 @@ def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def split_cases(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    lines = F.split(F.regexp_replace(F.ltrim("value", F.lit("﻿")), "\r\n?", "\n"), "\n")
+    lines = F.split(F.regexp_replace(F.ltrim("value", F.lit("\ufeff")), "\r\n?", "\n"), "\n")
     rows = files.select("file", F.posexplode(lines).alias("pos", "line"))
     rows = rows.select("file", (F.col("pos") + 1).alias("line_no"), T.trim_ws("line").alias("line"))
     rows = rows.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
