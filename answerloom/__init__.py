@@ -1,3 +1,10 @@
 """Retrieval, evaluation and usage analytics over question-answering corpora, as Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions shipped to Python workers carry their code, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -160,33 +160,31 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), lengths[0])
 
 
-class _Queries:
-    """Query side of a search: ids, matrix, and the collection each query is bound to (or None)."""
+def _query_side(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Ids, matrix, and the collection each query is bound to (or None)."""
+    kbs = table.column("kb_id").to_pandas().to_numpy() if "kb_id" in table.column_names else None
+    return table.column("query_id").to_pandas().to_numpy(), _matrix(table.column("embedding")), kbs
 
-    def __init__(self, table: pa.Table) -> None:
-        self.ids = table.column("query_id").to_numpy()
-        self.matrix = _matrix(table.column("embedding"))
-        self.kbs = table.column("kb_id").to_pandas().to_numpy() if "kb_id" in table.column_names else None
 
-
-def _scan(q: _Queries, keys: np.ndarray, kbs: np.ndarray, vectors: np.ndarray, k: int, per_kb: bool) -> pd.DataFrame:
+def _scan(side: tuple, keys: np.ndarray, kbs: np.ndarray, vectors: np.ndarray, k: int, per_kb: bool) -> pd.DataFrame:
     """Best ``k`` of one block of vectors for every query; blocks of queries bound the score matrix."""
-    if q.matrix.size and vectors.size and q.matrix.shape[1] != vectors.shape[1]:
-        raise DimensionError(f"query dimension {q.matrix.shape[1]} differs from {vectors.shape[1]}")
+    ids, matrix, bound = side
+    if matrix.size and vectors.size and matrix.shape[1] != vectors.shape[1]:
+        raise DimensionError(f"query dimension {matrix.shape[1]} differs from {vectors.shape[1]}")
     parts = []
     step = max(1, 4_000_000 // max(len(keys), 1))
     groups = [kbs == kb for kb in pd.unique(kbs)] if per_kb else [np.ones(len(keys), bool)]
     for mask in groups:
         sub_keys, sub_kbs, sub_vec = keys[mask], kbs[mask], vectors[mask]
-        for start in range(0, len(q.ids), step):
+        for start in range(0, len(ids), step):
             rows = slice(start, start + step)
-            scores = np.round(q.matrix[rows] @ sub_vec.T, 9)
-            if q.kbs is not None:
-                scores[q.kbs[rows][:, None] != sub_kbs[None, :]] = -np.inf
+            scores = np.round(matrix[rows] @ sub_vec.T, 9)
+            if bound is not None:
+                scores[bound[rows][:, None] != sub_kbs[None, :]] = -np.inf
             r, c = _best(scores, sub_keys, k)
             parts.append(
                 pd.DataFrame(
-                    {"query_id": q.ids[rows][r], "kb_id": sub_kbs[c], "chunk_key": sub_keys[c], "vector_score": scores[r, c]}
+                    {"query_id": ids[rows][r], "kb_id": sub_kbs[c], "chunk_key": sub_keys[c], "vector_score": scores[r, c]}
                 )
             )
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
@@ -229,7 +227,7 @@ def _hit_schema(queries: DataFrame, vectors: DataFrame) -> str:
 
 
 def _topk_shared(queries: DataFrame, table: pa.Table, vectors: DataFrame, k: int, per_kb: bool) -> DataFrame:
-    side = queries.sparkSession.sparkContext.broadcast(_Queries(table))  # measured to be small by the caller
+    side = queries.sparkSession.sparkContext.broadcast(_query_side(table))  # measured to be small by the caller
     group = ["query_id", "kb_id"] if per_kb else ["query_id"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +263,7 @@ def _topk_blocks(queries: DataFrame, vectors: DataFrame, k: int, per_kb: bool) -
         found = pd.DataFrame()
         if left.num_rows and right.num_rows:
             keys, kbs = left.column("chunk_key").to_pandas().to_numpy(), left.column("kb_id").to_pandas().to_numpy()
-            found = _scan(_Queries(right), keys, kbs, _matrix(left.column("embedding")), k, per_kb)
+            found = _scan(_query_side(right), keys, kbs, _matrix(left.column("embedding")), k, per_kb)
         return pa.Table.from_pandas(found, schema=arrow_schema, preserve_index=False) if len(found) else arrow_schema.empty_table()
 
     schema = _hit_schema(queries, vectors)

@@ -17,7 +17,7 @@ SCHEMA = "conv_id long, turns string, n_messages long, chars long"
 class HistoryProcessor(StatefulProcessor):
     """Keeps the newest messages of a conversation inside the turn and character limits."""
 
-    def __init__(self, max_turns: int, max_chars: int, ttl_ms: int) -> None:
+    def __init__(self, max_turns: int, max_chars: int, ttl_ms: int | None) -> None:
         self.max_turns, self.max_chars, self.ttl_ms = max_turns, max_chars, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -44,10 +44,14 @@ class HistoryProcessor(StatefulProcessor):
         pass
 
 
-def stream_history(messages: DataFrame, max_turns: int = 6, max_chars: int = 4000, ttl_hours: int = 24 * 30) -> DataFrame:
+def stream_history(messages: DataFrame, max_turns: int = 6, max_chars: int = 4000, ttl_hours: int | None = None) -> DataFrame:
     """Latest memory of every conversation touched in a batch; state is at most ``max(3 x max_turns, 10)`` entries per
-    conversation (lengths only) and expires. Needs the RocksDB state store."""
+    conversation (lengths only). Needs the RocksDB state store.
+
+    ``ttl_hours`` lets idle conversations expire; it keeps the query on processing time, which never drains, so leave
+    it out for one-off ``availableNow`` runs.
+    """
     return messages.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=HistoryProcessor(max_turns, max_chars, ttl_hours * 3_600_000),
-        outputStructType=SCHEMA, outputMode="Update", timeMode="ProcessingTime",
+        statefulProcessor=HistoryProcessor(max_turns, max_chars, None if ttl_hours is None else ttl_hours * 3_600_000),
+        outputStructType=SCHEMA, outputMode="Update", timeMode="None" if ttl_hours is None else "ProcessingTime",
     )
