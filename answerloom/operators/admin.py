@@ -13,6 +13,7 @@ from answerloom.functions.filters import live, search_name
 from answerloom.operators.bm25 import Bm25Index, corpus_stats, doc_stats, postings, term_stats
 from answerloom.operators.skew import bounded_join
 from answerloom.operators.vectors import l2_normalize
+from answerloom.session import shared_dir
 
 STATUSES = ["UPLOADED", "READY", "FAILED", "DELETED"]
 
@@ -37,8 +38,8 @@ def screen_vectors(df: DataFrame, dim: int, kb_id: str | None = None) -> tuple[D
 def write_vectors(df: DataFrame, path: str, dim: int, kb_id: str | None = None) -> DataFrame:
     """Upsert vectors by key into a table partitioned by collection; returns the rejects.
 
-    Only partitions named by the incoming rows are read and replaced. They are written beside the table first, since
-    a partition cannot be overwritten while it is read.
+    Only partitions named by the incoming rows are read and replaced; the merged rows are checkpointed first, since a
+    partition cannot be overwritten while it is read.
     """
     spark = df.sparkSession
     good, rejected = screen_vectors(df, dim, kb_id)
@@ -47,7 +48,7 @@ def write_vectors(df: DataFrame, path: str, dim: int, kb_id: str | None = None)
         old = spark.read.parquet(path)
         touched = good.select("kb_id").distinct()
         kept = bounded_join(old, touched, ["kb_id"], "left_semi").join(good.select("kb_id", "chunk_key"), ["kb_id", "chunk_key"], "left_anti")
-        merged = merged.unionByName(kept)
+        merged = _checkpointed(merged.unionByName(kept))
     _replace_partitions(merged, path, ["kb_id"], [])
     return rejected
 
@@ -82,18 +83,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def _replace_partitions(df: DataFrame, path: str, by: Sequence[str], order: Sequence[str]) -> None:
-    """Overwrite just the partitions present in ``df``, through a staged copy in the same folder."""
-    import uuid
-
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder, so the rows may replace the table they were read from."""
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex[:8]}"
-    ordered = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order) if order else df
-    ordered.write.parquet(staged)
-    final = spark.read.parquet(staged)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoint"))
+    return df.checkpoint()
+
+
+def _replace_partitions(df: DataFrame, path: str, by: Sequence[str], order: Sequence[str]) -> None:
+    """Overwrite just the partitions present in ``df``; ``order`` range-partitions and sorts the files."""
     if order:
-        final = final.sortWithinPartitions(*by, *order)
-    final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        df = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 # --- deletion ---------------------------------------------------------------------------------------------------
