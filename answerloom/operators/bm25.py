@@ -86,7 +86,8 @@ def query_weights(wanted: DataFrame, index: Bm25Index, k1: float = K1, small: bo
     """
     weights = bounded_join(index.terms, wanted, ["term"], spread=["kb_id"], small_is_small=small)
     if "kb_ids" in wanted.columns:
-        weights = weights.filter(F.array_contains("kb_ids", F.col("kb_id")))
+        everywhere = F.coalesce(F.size("kb_ids") <= 0, F.lit(True))  # a query that names no collection searches all
+        weights = weights.filter(everywhere | F.array_contains("kb_ids", F.col("kb_id")))
     corpus = index.corpus.select("kb_id", "n", "avgdl")
     weights = bounded_join(weights, corpus, ["kb_id"], spread=["query_id", "term"], small_is_small=small)
     return weights.select(

@@ -236,6 +236,8 @@ def _topk_shared(queries: DataFrame, table: pa.Table, vectors: DataFrame, k: int
             keys = batch.column("chunk_key").to_pandas().to_numpy()
             kbs = batch.column("kb_id").to_pandas().to_numpy()
             found = _scan(side.value, keys, kbs, _matrix(batch.column("embedding")), k, per_kb)
+            if not len(found):
+                continue
             merged = found if best is None else pd.concat([best, found], ignore_index=True)
             merged = merged.sort_values([*group, "vector_score", "chunk_key"], ascending=[True] * len(group) + [False, True])
             best = merged.groupby(group, sort=False).head(k)

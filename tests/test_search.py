@@ -179,3 +179,6 @@ def test_batch_equals_single_queries_and_missing_kb_is_reported(spark):
     assert {r.vector_error for r in debug} == {NO_KB} and all(r.vector_candidates == 0 for r in debug)
     listed = q.withColumn("kb_ids", F.array(F.lit("k")))
     assert key(hybrid_search(listed, corpus, SearchConfig()).hits) == batch
+    unnamed = q.withColumn("kb_ids", F.lit(None).cast("array<string>"))
+    rows = hybrid_search(unnamed, corpus, SearchConfig()).debug.collect()
+    assert any(r.bm25_candidates > 0 for r in rows) and all(r.vector_candidates == 0 and r.vector_error == NO_KB for r in rows)
