@@ -10,6 +10,8 @@ from answerloom.llm.common import table
 from answerloom.llm.html import main_texts
 from answerloom.llm.langid import languages
 from answerloom.llm.oddsketch import near_duplicates
+from answerloom.llm.secrets import scan
+from answerloom.llm.toxicity import scored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +32,16 @@ def op3_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_toxic_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
