@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, functions as F
 from answerloom.llm.common import SPACE, Words, constants, fold, mix, over_batches, text_blocks
 
 #: Labelled texts that are learned from: so many toxic ones and so many others, the first by a hash of the id.
-TOXIC_TEXTS, CLEAN_TEXTS = 1500, 2500
+TOXIC_TEXTS, CLEAN_TEXTS = 1000, 1500
 #: A word's features are itself and its first 3 to 7 bytes, hashed to a table of 2 ** TABLE_BITS weights.
 PREFIXES, TABLE_BITS = (3, 4, 5, 6, 7), 18
 #: A feature names toxic words when it is in at least so many toxic texts and, of all texts that have it, this part is toxic.
 SEED_TEXTS, SEED_PART = 3, 0.95
-#: Longest piece of a text in training; scoring has no pieces.
-PIECE = 200
+#: Words of a piece of text in training, which takes all pieces with a toxic word and as many others; scoring has no pieces.
+PIECE = 50
 ROUNDS, RATE, SHRINK = 40, 0.25, 1e-3
 #: A word is in a span when its marginal is at least this.
 SPAN_AT = 0.5
@@ -103,6 +103,48 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _pieces(f: np.ndarray, doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, tags and first words of the pieces to learn from."""
+    place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    begins = np.flatnonzero(place % PIECE == 0)
+    piece = np.cumsum(place % PIECE == 0) - 1
+    toxic = np.bincount(piece, weights=tag, minlength=len(begins)) > 0
+    others = np.flatnonzero(~toxic)
+    keep = toxic.copy()
+    keep[others[np.argsort(mix(others.astype(np.uint64)))[: max(200, int(toxic.sum()))]]] = True
+    rows = keep[piece]
+    own = piece[rows]
+    return f[rows], tag[rows], np.flatnonzero(np.append([True], own[1:] != own[:-1]))
+
+
+def _descend(f: np.ndarray, tag: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and transitions by gradient steps with momentum and scaling."""
+    lengths, inner, t = np.diff(np.append(begins, len(tag))), np.ones(len(tag), dtype=bool), tag.astype(int)
+    inner[begins] = False
+    pairs = np.flatnonzero(inner)
+    seen_steps = np.bincount(t[pairs - 1] * 2 + t[pairs], minlength=4).reshape(2, 2).astype(float)
+    used, slot = np.unique(f, return_inverse=True)
+    slot, many = slot.reshape(f.shape), max(1.0, tag.sum())
+    w, bias, step = np.zeros(len(used)), -3.0, np.zeros((2, 2))
+    m1, m2 = (np.zeros(len(used) + 5) for _ in range(2))
+    for i in range(1, ROUNDS + 1):
+        u = w[slot].sum(axis=1) + bias
+        p, ahead, back, _ = forward_backward(u, begins, lengths, step)
+        left, right = ahead[pairs - 1], u[pairs] + back[pairs]
+        joint = np.stack([np.full(len(pairs), step[0, 0]), right + step[0, 1], left + step[1, 0], left + right + step[1, 1]], axis=1)
+        joint = np.exp(joint - joint.max(axis=1, keepdims=True))
+        joint = (joint / joint.sum(axis=1, keepdims=True)).sum(axis=0).reshape(2, 2)
+        gap = p - tag
+        g = np.bincount(slot.ravel(), weights=np.repeat(gap, f.shape[1]), minlength=len(used))
+        g = np.concatenate([g / many + SHRINK * w, [gap.sum() / many], ((joint - seen_steps) / many + SHRINK * step).ravel()])
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+        move = RATE * (m1 / (1 - 0.9**i)) / (np.sqrt(m2 / (1 - 0.99**i)) + 1e-8)
+        w, bias, step = w - move[: len(used)], bias - move[len(used)], step - move[len(used) + 1 :].reshape(2, 2)
+    weight = np.zeros(1 << TABLE_BITS, dtype=np.float32)
+    weight[used] = w
+    return weight, float(bias), step
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Field:
     """A field learned from whole texts and their labels.
 
@@ -124,42 +166,16 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
     texts_with = np.zeros((2, 1 << TABLE_BITS))
     for label in (0, 1):
         rows = toxic[doc] == label
-        seen = np.unique(np.stack([np.repeat(doc[rows], f.shape[1]), f[rows].ravel()]), axis=1)
-        texts_with[label] = np.bincount(seen[1], minlength=1 << TABLE_BITS)
+        seen = np.unique((doc[rows].astype(np.int64)[:, None] << TABLE_BITS) + f[rows])
+        texts_with[label] = np.bincount(seen & ((1 << TABLE_BITS) - 1), minlength=1 << TABLE_BITS)
     rate = texts_with / np.maximum(1, np.array([(toxic == 0).sum(), (toxic == 1).sum()]))[:, None]
     seed = (texts_with[1] >= SEED_TEXTS) & (rate[1] >= SEED_PART * (rate[0] + rate[1]))
     tag = ((toxic[doc] == 1) & seed[f].any(axis=1)).astype(float)
 
-    place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    begins = np.flatnonzero(place % PIECE == 0)
-    lengths = np.diff(np.append(begins, len(doc)))
-    inner = np.ones(len(doc), dtype=bool)
-    inner[begins] = False
-    pairs = np.flatnonzero(inner)
-    t = tag.astype(int)
-    seen_steps = np.bincount(t[pairs - 1] * 2 + t[pairs], minlength=4).reshape(2, 2).astype(float)
-    used, slot = np.unique(f, return_inverse=True)
-    slot, many = slot.reshape(f.shape), max(1.0, tag.sum())
-    w, bias, step = np.zeros(len(used)), -3.0, np.zeros((2, 2))
-    m1, m2 = (np.zeros(len(used) + 5) for _ in range(2))
-    for i in range(1, ROUNDS + 1):
-        u = w[slot].sum(axis=1) + bias
-        p, ahead, back, _ = forward_backward(u, begins, lengths, step)
-        left, right = ahead[pairs - 1], u[pairs] + back[pairs]
-        joint = np.stack([np.full(len(pairs), step[0, 0]), right + step[0, 1], left + step[1, 0], left + right + step[1, 1]], axis=1)
-        joint = np.exp(joint - joint.max(axis=1, keepdims=True))
-        joint = (joint / joint.sum(axis=1, keepdims=True)).sum(axis=0).reshape(2, 2)
-        gap = p - tag
-        g = np.bincount(slot.ravel(), weights=np.repeat(gap, f.shape[1]), minlength=len(used))
-        g = np.concatenate([g / many + SHRINK * w, [gap.sum() / many], ((joint - seen_steps) / many + SHRINK * step).ravel()])
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        move = RATE * (m1 / (1 - 0.9**i)) / (np.sqrt(m2 / (1 - 0.99**i)) + 1e-8)
-        w, bias, step = w - move[: len(used)], bias - move[len(used)], step - move[len(used) + 1 :].reshape(2, 2)
-    weight = np.zeros(1 << TABLE_BITS, dtype=np.float32)
-    weight[used] = w
+    weight, bias, step = _descend(*_pieces(f, doc, tag))
     ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-    p, *_ = forward_backward(w[slot].sum(axis=1) + bias, ends[:-1], np.diff(ends), step)
-    return Field(weight, float(bias), step, _logistic(document_features(p, doc, len(texts)), toxic.astype(float)))
+    p, *_ = forward_backward(weight[f].sum(axis=1, dtype=np.float64) + bias, ends[:-1], np.diff(ends), step)
+    return Field(weight, bias, step, _logistic(document_features(p, doc, len(texts)), toxic.astype(float)))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
