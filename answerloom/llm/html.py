@@ -36,16 +36,17 @@ ENDS = {
 SCOPES = frozenset("ul ol dl table article section div main body html".split())
 #: Blocks that end an open paragraph.
 ENDS_P = BLOCKS - frozenset(["br", "html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"])
-#: Words of class, id and role that mark parts around an article, or an article.
+#: Words of class, id and role that mark parts around an article; those that also name layouts, which count only
+#: where no word of TOWARDS stands beside them; words that mark an article.
 AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|contentinfo|cookies?|consent|disqus|foot(?:er)?|gdpr|header|"
-    r"masthead|menu|modal|nav\w*|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|search|share|sharing|side(?:bar)?|skip|social|"
-    r"sponsor\w*|subscribe|tags|toolbar|widget)(?=$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|contentinfo|cookies?|consent|disqus|foot(?:er)?|gdpr|"
+    r"masthead|menu|modal|nav\w*|newsletter|notices?|pager|pagination|popup|promo\w*|replies|sharing|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-]|\d)",
     re.I,
 )
+LAYOUT = re.compile(r"(?:^|[\s_-])(?:header|related|search|share|side(?:bar)?|skip|social|tags)(?=$|[\s_-]|\d)", re.I)
 TOWARDS = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?=$|[\s_-])", re.I)
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$))", re.S)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z))", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _BLANK = re.compile(r"\s+")
@@ -100,7 +101,7 @@ def tree(page: str) -> Node:
         names = " ".join(a or b or c for _, a, b, c in _NAMES.findall(attributes)) if "=" in attributes else ""
         node = Node(name, at, names, name in OUTSIDE or bool(attributes and _HIDDEN.search(attributes)))
         at.items.append(node)
-        if name in VOID or attributes.rstrip().endswith("/"):
+        if name in VOID:
             continue
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
@@ -129,7 +130,7 @@ def _leave_out(root: Node) -> None:
             while up is not None and up.tag not in ("article", "main"):
                 up = up.up
             node.dropped = up is None
-        if named and AWAY.search(node.names) and not TOWARDS.search(node.names):
+        if named and (AWAY.search(named) or LAYOUT.search(named) and not TOWARDS.search(named)):
             node.dropped = True
 
 

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from answerloom.llm import cleaning
 from answerloom.llm.common import table
+from answerloom.llm.curriculum import mixed
+from answerloom.llm.decontaminate import contaminated
 from answerloom.llm.html import main_texts
 from answerloom.llm.langid import languages
 from answerloom.llm.oddsketch import near_duplicates
+from answerloom.llm.pii import report
+from answerloom.llm.runindex import repeated_bytes
 from answerloom.llm.secrets import scan
 from answerloom.llm.toxicity import scored
 
@@ -17,6 +22,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_LINES = f"""list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))"""
+_WORDS = "regexp_extract_all({x}, '[^\\x20\\x09-\\x0D]+')"
+_CHARS = "length(regexp_replace({x}, '[\\x20\\x09-\\x0D]+', '', 'g'))"
+_TRIM = "regexp_replace(x, '[\\x20\\x09-\\x0D]+$', '')"
+_quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+
+ORACLES["op6_line_first"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  w AS (SELECT doc_id, text, {_WORDS.format(x="text")} AS ws, {_LINES} AS ls FROM d),
+  g AS (SELECT doc_id, i, ws[i:i + 4] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+  t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+  c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM t, (SELECT unnest([0, 1, 2, 3, 4]) AS k) GROUP BY doc_id),
+  l AS (SELECT *, list_filter(ls, lambda x: NOT (regexp_matches({_TRIM}, {_quoted(cleaning.NAVIGATION)}) OR regexp_matches({_TRIM}, {_quoted(cleaning.BOILERPLATE)})
+          OR (len({_WORDS.format(x="x")}) > {cleaning.SHORT_LINE} AND NOT regexp_matches(right({_TRIM}, 16), {_quoted(cleaning.STOP)})))) AS good FROM w),
+  m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, {_CHARS.format(x="text")}::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, (len(ls) - len(good))::BIGINT AS n_lines_removed,
+          array_to_string(good, chr(10)) AS clean FROM l LEFT JOIN c USING (doc_id)),
+  f AS (SELECT *, {_CHARS.format(x="clean")}::BIGINT AS clean_chars, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, len({_WORDS.format(x="clean")}) AS left_words FROM m)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND 100 * (word_chars - clean_chars) <= {cleaning.MOST_LOST} * word_chars AND left_words >= {cleaning.LEAST_WORDS} AS kept, n_lines_removed, clean_chars FROM f"""
+
+ORACLES["op9_curriculum"] = f"""WITH d AS (SELECT doc_id, source, coalesce(len({_WORDS.format(x="text")}), 0)::BIGINT AS size, md5(doc_id::VARCHAR) AS h FROM documents),
+  s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+  p AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1)::INT AS place FROM s),
+  w AS (SELECT *, CASE place % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, CASE place % 3 WHEN 0 THEN -0.6::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.6::DOUBLE END AS slope,
+          (2 * source_size)::DOUBLE AS cap FROM p),
+  r AS (SELECT *, sum(source_size) OVER ()::DOUBLE * 150 / 100 AS total, sum(weight) OVER () AS all_weight,
+          sum(cap) OVER (ORDER BY source_size::DOUBLE / weight, place ROWS UNBOUNDED PRECEDING) - cap AS capped_before,
+          sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, place ROWS UNBOUNDED PRECEDING) AS weight_to FROM w),
+  v AS (SELECT *, (total - capped_before) / (all_weight - weight_to + weight)::DOUBLE AS level FROM r),
+  k AS (SELECT level FROM v WHERE level * weight < cap ORDER BY source_size::DOUBLE / weight, place LIMIT 1),
+  g AS (SELECT source, source_size, slope, CASE WHEN level * weight >= cap THEN cap ELSE coalesce((SELECT level FROM k), 0) * weight END AS target FROM v),
+  o AS (SELECT doc_id, size, source_size, target, slope, floor(target)::BIGINT AS goal,
+          (sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS first FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+  a AS (SELECT *, least(greatest(goal - first, 0), size) AS once, least(greatest(goal - first - source_size, 0), size) AS twice FROM o)
+  SELECT doc_id, size, source_size, target, (once + twice)::BIGINT AS taken, round(CASE WHEN once > 0 THEN CASE WHEN slope = 0 THEN first / target
+    ELSE (sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * (first / target), 0.0)) - (1 - slope)) / (2 * slope) END END, 9) AS position FROM a"""
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -27,6 +70,11 @@ def op1_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+@query
+def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -42,6 +90,26 @@ def op5_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.judged(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op8_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 9))
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents"))
