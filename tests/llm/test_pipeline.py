@@ -66,7 +66,7 @@ def test_finds_what_all_windows_find(spark, monkeypatch):
     frame = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, leaks int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(frame, bench).collect()}
-    assert len(want) > 40 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert len(want) > 30 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
     kept = clean(frame, bench)
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == sorted({d for d, _ in docs} - {d for d, _ in want})
 
