@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from answerloom.llm.common import constants, fold, mix, over_batches, text_blocks
 
-#: Labelled texts of a language that are learned from: the first by a hash of the id.
-TEXTS_PER_LANGUAGE = 1500
+#: Labelled texts of a language that are learned from: the first by a hash of the id. Up to 1000 Spark cuts each task to them
+#: before the shuffle.
+TEXTS_PER_LANGUAGE = 1000
 #: Languages that a mask has room for.
 LANGUAGES = 64
 #: Bytes of an n-gram (of the lower-cased text, with a space for each run of characters that are no letters).
