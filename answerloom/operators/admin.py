@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T_
 
 from answerloom import schema as S
 from answerloom.functions import text as T
 from answerloom.functions.filters import live, search_name
-from answerloom.operators.bm25 import Bm25Index, corpus_stats, doc_stats, postings, term_stats
+from answerloom.operators.bm25 import Bm25Index, changed, corpus_stats, doc_stats, postings, term_stats
 from answerloom.operators.skew import bounded_join
 from answerloom.operators.vectors import l2_normalize
 from answerloom.session import shared_dir
@@ -21,7 +22,8 @@ STATUSES = ["UPLOADED", "READY", "FAILED", "DELETED"]
 # --- index tables -----------------------------------------------------------------------------------------------
 def screen_vectors(df: DataFrame, dim: int, kb_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) vectors: wrong dimension or missing key is refused; a given ``kb_id`` wins; the accepted
-    ones are unit length, and of several rows with one key the latest (by ``seq``, when present) stays."""
+    ones are unit length, and of several rows with one key one stays: the latest by ``seq`` where there is one, else the
+    one that is largest by its values, so that repeating a write changes nothing."""
     if kb_id is not None:
         df = df.withColumn("kb_id", F.lit(kb_id))
     reason = F.when(F.col("chunk_key").isNull() | F.col("kb_id").isNull(), "missing key").when(
@@ -29,23 +31,24 @@ def screen_vectors(df: DataFrame, dim: int, kb_id: str | None = None) -> tuple[D
     )
     marked = df.withColumn("reason", reason)
     good = marked.filter("reason IS NULL").drop("reason").withColumn("embedding", l2_normalize(F.col("embedding")).cast("array<float>"))
-    if "seq" in df.columns:
-        rest = [c for c in good.columns if c not in ("kb_id", "chunk_key")]
-        good = good.groupBy("kb_id", "chunk_key").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("kb_id", "chunk_key", "r.*")
+    rest = [c for c in good.columns if c not in ("kb_id", "chunk_key", "seq")]
+    order = F.struct(*(["seq"] if "seq" in df.columns else []), *rest)
+    good = good.groupBy("kb_id", "chunk_key").agg(F.max(order).alias("r")).select("kb_id", "chunk_key", "r.*")
     return good, marked.filter("reason IS NOT NULL").select("kb_id", "chunk_key", "reason")
 
 
 def write_vectors(df: DataFrame, path: str, dim: int, kb_id: str | None = None) -> DataFrame:
     """Upsert vectors by key into a table partitioned by collection; returns the rejects.
 
-    Only partitions named by the incoming rows are read and replaced; the merged rows are checkpointed first, since a
-    partition cannot be overwritten while it is read.
+    The incoming rows are evaluated once, into the shared folder. Only partitions named by them are read and replaced; the
+    merged rows are checkpointed first, since a partition cannot be overwritten while it is read.
     """
     spark = df.sparkSession
+    df = _checkpointed(df)
     good, rejected = screen_vectors(df, dim, kb_id)
     merged = good.drop("seq")
     if _exists(spark, path):
-        old = spark.read.parquet(path)
+        old = read_stored(spark, path, merged.schema)
         touched = good.select("kb_id").distinct()
         kept = bounded_join(old, touched, ["kb_id"], "left_semi").join(good.select("kb_id", "chunk_key"), ["kb_id", "chunk_key"], "left_anti")
         merged = _checkpointed(merged.unionByName(kept))
@@ -53,34 +56,71 @@ def write_vectors(df: DataFrame, path: str, dim: int, kb_id: str | None = None)
     return rejected
 
 
-def write_bm25_index(chunks: DataFrame, path: str) -> Bm25Index:
-    """Write postings, lengths and term statistics of the given collections and read them back as an index.
+def read_stored(spark: SparkSession, path: str, schema: T_.StructType | str) -> DataFrame:
+    """A stored table with its declared schema: without one, partition values like ``007`` would come back as numbers."""
+    return spark.read.schema(schema).parquet(path)
 
-    Postings are laid out by (collection, term range): files hold neighbouring terms in order, so row-group
-    statistics skip all terms no query uses, and a frequent term spreads over several files by chunk.
+
+def write_bm25_index(chunks: DataFrame, path: str, named: DataFrame | None = None) -> Bm25Index:
+    """Write postings, lengths and term statistics of the collections of ``chunks`` and of ``named`` (kb_id), and read them back.
+
+    A named collection without chunks, or whose chunks have no tokens, is cleared: every collection written gets a row
+    without a key, so that its partition is replaced even when nothing else is left in it; readers skip that row.
+    Postings are clustered by chunk with the terms in order: a task holds whole chunks, and row groups of other terms
+    are skipped.
     """
-    spark = chunks.sparkSession
-    post = postings(chunks)
-    stats = doc_stats(chunks)
-    _replace_partitions(post, f"{path}/postings", ["kb_id"], ["term", "chunk_key"])
-    _replace_partitions(stats, f"{path}/doc_stats", ["kb_id"], ["chunk_key"])
-    stored = spark.read.parquet(f"{path}/postings")
-    touched = chunks.select("kb_id").distinct()
-    _replace_partitions(term_stats(bounded_join(stored, touched, ["kb_id"], "left_semi")), f"{path}/terms", ["kb_id"], ["term"])
+    kbs = chunks.select("kb_id") if named is None else chunks.select("kb_id").union(named.select("kb_id"))
+    _store_index(postings(chunks), doc_stats(chunks), kbs.distinct(), path)
+    return read_bm25_index(chunks.sparkSession, path)
+
+
+def update_bm25_index(path: str, upserts: DataFrame, deletes: DataFrame) -> Bm25Index:
+    """Replace the upserted chunks and drop the deleted ones, (kb_id, chunk_key), in a stored index; only the collections
+    named in either are read and written again, and one that loses its last chunk becomes empty."""
+    spark = upserts.sparkSession
+    old = read_bm25_index(spark, path)
+    named = upserts.select("kb_id").union(deletes.select("kb_id")).distinct()
+    stats = read_stored(spark, f"{path}/doc_stats", S.DOC_STATS).filter("chunk_key IS NOT NULL")
+    part = lambda df: bounded_join(df, named, ["kb_id"], "left_semi")
+    post, lengths = changed(part(old.postings), part(stats), upserts, deletes)
+    _store_index(_checkpointed(post), _checkpointed(lengths), _checkpointed(named), path)
     return read_bm25_index(spark, path)
 
 
+def _store_index(post: DataFrame, stats: DataFrame, kbs: DataFrame, path: str) -> None:
+    spark = post.sparkSession
+
+    def marked(df: DataFrame, schema: str) -> DataFrame:
+        empty = S.conform(kbs, schema)
+        return S.conform(df, schema).unionByName(empty)
+
+    post = marked(post, S.POSTINGS)
+    post.repartition("kb_id", "chunk_key").sortWithinPartitions("kb_id", "term", "chunk_key").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(f"{path}/postings")
+    _replace_partitions(marked(stats, S.DOC_STATS), f"{path}/doc_stats", ["kb_id"], ["chunk_key"])
+    stored = read_stored(spark, f"{path}/postings", S.POSTINGS)
+    mine = bounded_join(stored, kbs, ["kb_id"], "left_semi").filter("term IS NOT NULL")
+    _replace_partitions(marked(term_stats(mine), S.TERMS), f"{path}/terms", ["kb_id"], ["term"])
+    lengths = bounded_join(read_stored(spark, f"{path}/doc_stats", S.DOC_STATS), kbs, ["kb_id"], "left_semi").filter("chunk_key IS NOT NULL")
+    _replace_partitions(marked(corpus_stats(lengths), S.CORPUS), f"{path}/corpus", ["kb_id"], [])
+
+
 def read_bm25_index(spark: SparkSession, path: str) -> Bm25Index:
-    return Bm25Index(
-        spark.read.parquet(f"{path}/postings"), corpus_stats(spark.read.parquet(f"{path}/doc_stats")), spark.read.parquet(f"{path}/terms")
-    )
+    """The stored index; statistics are stored too and not derived again."""
+    corpus = read_stored(spark, f"{path}/corpus", S.CORPUS).filter("n IS NOT NULL")
+    post = read_stored(spark, f"{path}/postings", S.POSTINGS).filter("term IS NOT NULL")
+    return Bm25Index(post, corpus, read_stored(spark, f"{path}/terms", S.TERMS).filter("term IS NOT NULL"), corpus.select("kb_id"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path``; only a missing path counts as none, every other failure is raised."""
     try:
-        return len(spark.read.parquet(path).columns) > 0
-    except Exception:  # noqa: BLE001 - the reader reports a missing path in several ways
-        return False
+        spark.read.format("binaryFile").load(path).schema  # noqa: B018 - resolves the path
+        return True
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
@@ -149,7 +189,7 @@ def ingest_report(documents: DataFrame, chunks: DataFrame, rejects: DataFrame, p
     totals = chunks.groupBy("doc_id").agg(
         F.count("*").alias("chunk_count"), F.sum("char_count").alias("char_count"), F.sum("token_count").alias("token_count")
     )
-    reasons = rejects.groupBy("doc_id").agg(F.first("reason").alias("_reason"))
+    reasons = rejects.groupBy("doc_id").agg(F.min("reason").alias("_reason"))
     joined = documents.select("doc_id", "kb_id", "text").join(totals, "doc_id", "left").join(reasons, "doc_id", "left")
     failed = F.col("chunk_count").isNull()
     zero = F.lit(0).cast("long")
@@ -267,7 +307,7 @@ def to_prometheus(stats: DataFrame, help_texts: dict[str, str], by_mode: DataFra
     safe = F.replace(F.replace(F.col("help"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit(" "))
     lines = F.array(
         F.concat(F.lit("# HELP "), name, F.lit(" "), safe), F.concat(F.lit("# TYPE "), name, F.lit(" gauge")),
-        F.concat(name, "label", F.lit(" "), F.col("value").cast("string")),
+        F.concat(name, "label", F.lit(" "), F.col("value").cast("decimal(38,6)").cast("string")),
     )
     return rows.select("ord", "label", F.posexplode(lines).alias("part", "line")).select("ord", "label", "part", "line")
 

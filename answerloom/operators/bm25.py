@@ -27,15 +27,10 @@ def tokenized(chunks: DataFrame, text: str = "content") -> DataFrame:
     return chunks.select("kb_id", "chunk_key", tokenize(text).alias("tokens"))
 
 
-def postings(chunks: DataFrame, text: str = "content", vocabulary: DataFrame | None = None) -> DataFrame:
-    """Term frequency per chunk. Tokens of one chunk are combined in its own task before anything is shuffled.
-
-    With ``vocabulary(term)`` only those terms are kept, before the combine.
-    """
+def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
+    """Term frequency per chunk. Tokens of one chunk are combined in its own task before anything is shuffled."""
     tokens = tokenized(chunks, text).withColumn("dl", F.greatest(F.size("tokens"), F.lit(1)))
     exploded = explode_computed(tokens, "tokens", "term").select("kb_id", "chunk_key", "dl", "term")
-    if vocabulary is not None:
-        exploded = bounded_join(exploded, vocabulary, ["term"], "left_semi", spread=["chunk_key"])
     return exploded.groupBy("kb_id", "chunk_key", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
@@ -55,15 +50,9 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("kb_id", "term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
 
 
-def build_index(chunks: DataFrame, text: str = "content", queries: DataFrame | None = None) -> Bm25Index:
-    """Index of ``chunks``; with ``queries`` (one-off searches) only the terms they use are indexed.
-
-    Lengths, ``n`` and ``avgdl`` always cover every token, so scores do not change.
-    """
-    vocabulary = None
-    if queries is not None:
-        vocabulary = explode_computed(queries.select(tokenize("question").alias("t")), "t", "term").distinct()
-    post = postings(chunks, text, vocabulary)
+def build_index(chunks: DataFrame, text: str = "content") -> Bm25Index:
+    """Index of every term of ``chunks``, in memory; stored indexes are written and kept up to date by the administration."""
+    post = postings(chunks, text)
     return Bm25Index(post, corpus_stats(doc_stats(chunks, text)), term_stats(post), chunks.select("kb_id").distinct())
 
 
@@ -153,15 +142,15 @@ def index_stats(index: Bm25Index, k1: float = K1, b: float = B) -> DataFrame:
     )
 
 
-def apply_changes(postings_table: DataFrame, stats: DataFrame, upserts: DataFrame, deletes: DataFrame) -> Bm25Index:
-    """Replace the upserted chunks, drop the deleted ones, and derive the statistics again.
-
-    ``upserts`` holds chunk rows, ``deletes`` holds (kb_id, chunk_key). Only collections named in either need to be
-    passed in; the writer overwrites just those partitions.
-    """
+def changed(postings_table: DataFrame, stats: DataFrame, upserts: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) after the upserted chunks replaced theirs and the deleted ones, (kb_id, chunk_key), went."""
     touched = upserts.select("kb_id", "chunk_key").unionByName(deletes.select("kb_id", "chunk_key")).distinct()
     kept = bounded_join(postings_table, touched, ["kb_id", "chunk_key"], "left_anti")
     kept_stats = bounded_join(stats, touched, ["kb_id", "chunk_key"], "left_anti")
-    post = kept.unionByName(postings(upserts))
-    all_stats = kept_stats.unionByName(doc_stats(upserts))
+    return kept.unionByName(postings(upserts)), kept_stats.unionByName(doc_stats(upserts))
+
+
+def apply_changes(postings_table: DataFrame, stats: DataFrame, upserts: DataFrame, deletes: DataFrame) -> Bm25Index:
+    """The index after ``changed``, with its statistics derived again; ``admin.update_bm25_index`` stores it."""
+    post, all_stats = changed(postings_table, stats, upserts, deletes)
     return Bm25Index(post, corpus_stats(all_stats), term_stats(post))

@@ -10,7 +10,8 @@ from answerloom.operators import admin as A, bm25
 from answerloom.operators.usage import usage_by_mode, usage_totals
 from answerloom.operators.vectors import hash_embed
 from answerloom.registry import query
-from answerloom.registry.fixtures import DIM, NOW, USAGE_CTE, doc_chunks, documents, table, traces
+from answerloom.operators.skew import bounded_join
+from answerloom.registry.fixtures import BM25_CTE, DIM, NOW, USAGE_CTE, doc_chunks, documents, questions, table, traces
 from answerloom.session import shared_dir
 from answerloom.sources import cases as C
 
@@ -201,14 +202,51 @@ def stored_bm25_index(spark, sf):
     return index.corpus.select("kb_id", F.col("n").alias("docs"))
 
 
-@query("stored_vectors", "SELECT CAST(label % 2 AS VARCHAR) AS kb_id, count(*) AS vectors FROM embeddings GROUP BY 1")
+#: Documents after the French ones were amended, and the Spanish ones and one whole collection were deleted.
+_CHANGED = f"""d2 AS (SELECT doc_id, source, lang, CASE WHEN lang = 'fr' THEN text || ' amended' ELSE text END AS text FROM documents WHERE lang <> 'es' AND source <> 'src1'),
+  {BM25_CTE.strip().replace('FROM documents', 'FROM d2')}"""
+
+
+def updated_index(spark, sf):
+    path = shared_dir(spark, "bm25")
+    chunks = doc_chunks(spark, sf)
+    A.write_bm25_index(chunks, path)
+    upserts = chunks.filter("section_path = 'fr' AND kb_id <> 'src1'").withColumn("content", F.concat("content", F.lit(" amended")))
+    return A.update_bm25_index(path, upserts, chunks.filter("section_path = 'es' OR kb_id = 'src1'").select("kb_id", "chunk_key"))
+
+
+@query("stored_bm25_update", f"WITH {_CHANGED} SELECT kb_id, chunk_key, term, tf::INT AS tf, dl::INT AS dl, df::BIGINT AS df, n FROM ps JOIN ts USING (kb_id, term) JOIN dl USING (kb_id, chunk_key) JOIN cs USING (kb_id)")
+def stored_bm25_update(spark, sf):
+    """Everything a stored index holds after an update that empties a collection."""
+    index = updated_index(spark, sf)
+    joined = bounded_join(index.postings.join(index.terms, ["kb_id", "term"]), index.corpus.select("kb_id", "n"), ["kb_id"])
+    return joined.select("kb_id", "chunk_key", "term", "tf", "dl", "df", "n")
+
+
+@query(
+    "stored_bm25_search",
+    f"""WITH {_CHANGED} SELECT query_id, kb_id, chunk_key, round(bm25_score, 6) AS bm25_score, bm25_rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, chunk_key)::INT AS bm25_rank FROM bm) WHERE bm25_rank <= 5""",
+)
+def stored_bm25_search(spark, sf):
+    return bm25.bm25_topk(questions(spark, sf), updated_index(spark, sf), 5).withColumn("bm25_score", F.round("bm25_score", 6))
+
+
+@query(
+    "stored_vectors",
+    """SELECT CASE label % 2 WHEN 0 THEN '007' ELSE '7' END AS kb_id, vec_id::VARCHAR AS chunk_key, CASE WHEN label = 4 THEN -1 ELSE 1 END * sign(embedding[1])::INT AS side,
+       len(embedding)::INT AS dim FROM embeddings""",
+)
 def stored_vectors(spark, sf):
-    """Write all vectors, then write one class again: the upsert leaves the counts as they were."""
-    e = table(spark, sf, "embeddings").select((F.col("label") % 2).cast("string").alias("kb_id"), F.col("vec_id").cast("string").alias("chunk_key"), "label", "embedding")
+    """Write all vectors into collections whose names look alike, then one class again, turned round and with every key twice."""
+    kb = F.when(F.col("label") % 2 == 0, "007").otherwise("7")
+    e = table(spark, sf, "embeddings").select(kb.alias("kb_id"), F.col("vec_id").cast("string").alias("chunk_key"), "label", "embedding")
     path = shared_dir(spark, "vectors")
     A.write_vectors(e, path, DIM)
-    A.write_vectors(e.filter("label = 4"), path, DIM)
-    return spark.read.parquet(path).groupBy(F.col("kb_id").cast("string").alias("kb_id")).agg(F.count("*").alias("vectors"))
+    again = e.filter("label = 4").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    A.write_vectors(again.union(again), path, DIM)
+    stored = A.read_stored(spark, path, "kb_id string, chunk_key string, label int, embedding array<float>")
+    return stored.select("kb_id", "chunk_key", F.signum(F.col("embedding")[0]).cast("int").alias("side"), F.size("embedding").alias("dim"))
 
 
 @query(
@@ -216,13 +254,14 @@ def stored_vectors(spark, sf):
     f"""WITH {USAGE_CTE}, t AS (SELECT count(*) AS requests, count(*) FILTER (status <> 'ok') AS errors FROM tr),
         m AS (SELECT coalesce(mode, 'unknown') AS mode, count(*)::DOUBLE AS requests, sum(cost_usd)::DOUBLE AS cost FROM tr GROUP BY 1),
         r AS (SELECT 'qa_requests' AS n, 'requests in the window' AS h, requests::DOUBLE AS v, '' AS l FROM t UNION ALL SELECT 'qa_errors', 'failed requests', errors, '' FROM t
-              UNION ALL SELECT 'qa_requests_by_mode', 'requests per mode', requests, '{{mode="' || mode || '"}}' FROM m)
-        SELECT '# HELP ' || n || ' ' || h AS line FROM r UNION ALL SELECT '# TYPE ' || n || ' gauge' FROM r UNION ALL SELECT n || l || ' ' || v::VARCHAR FROM r""",
+              UNION ALL SELECT 'qa_requests_by_mode', 'requests per mode', requests, '{{mode="' || mode || '"}}' FROM m
+              UNION ALL SELECT 'qa_cost_usd_by_mode', 'cost per mode in USD', cost, '{{mode="' || mode || '"}}' FROM m)
+        SELECT '# HELP ' || n || ' ' || h AS line FROM r UNION ALL SELECT '# TYPE ' || n || ' gauge' FROM r UNION ALL SELECT n || l || ' ' || v::DECIMAL(38, 6)::VARCHAR FROM r""",
 )
 def metrics_text(spark, sf):
     t = traces(spark, sf)
     lines = A.to_prometheus(usage_totals(t, 744, NOW), {"requests": "requests in the window", "errors": "failed requests"}, usage_by_mode(t))
-    return lines.filter(~F.col("line").contains("cost_usd_by_mode")).select("line")
+    return lines.select("line")
 
 
 @query(

@@ -10,7 +10,7 @@ from answerloom.operators.skew import bounded_join, spread_out
 from answerloom.plans.evaluation import evaluate, search_modes
 from answerloom.plans.search import SearchConfig
 from answerloom.registry import query
-from answerloom.registry.fixtures import BM25_CTE, coverage_sql, doc_chunks, questions, table, tokens_sql
+from answerloom.registry.fixtures import BM25_CTE, coverage_sql, doc_chunks, questions, stored_index, table, tokens_sql
 from answerloom.registry.search import CFG, parts, search_cte
 from answerloom.registry.vectors import DOT_CTE, vec_queries, vec_table
 
@@ -19,20 +19,24 @@ def verbatim(spark, sf):
     """(item_id, doc_id) where the document contains the item's text.
 
     Items meet documents through their rarest inner word, an equi join; containment is then tested on those pairs
-    only. A text holds every inner word of the passage it contains, so no pair is missed.
+    only. Words are what white space parts: all but the first and the last word of a passage are whole words, in that order, of
+    any text that contains it, so no pair is missed. Passages without an inner word are looked for in every text; they are
+    part of the stated set of questions.
     """
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    words = items.select("item_id", T.tokenize("passage", False).alias("w"))
-    inner = words.select("item_id", F.explode_outer(F.array_distinct(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))))).alias("term")).filter("term IS NOT NULL")
+    words = items.select("item_id", F.split("passage", r"\s+").alias("w"))
+    inner = words.select("item_id", F.explode_outer(F.array_distinct(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))))).alias("term")).filter("term <> ''")
     docs = spread_out(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    tokens = docs.select("doc_id", F.array_distinct(T.tokenize("text", False)).alias("w"))
+    tokens = docs.select("doc_id", F.array_distinct(F.split("text", r"\s+")).alias("w"))
     in_docs = tokens.select("doc_id", F.explode_outer("w").alias("term")).filter("term IS NOT NULL")
     in_docs = bounded_join(in_docs, inner.select("term").distinct(), ["term"], "left_semi", spread=["doc_id"])
     counts = in_docs.groupBy("term").agg(F.count("*").alias("df"))
-    anchors = inner.join(counts, "term").groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    anchors = inner.join(counts, "term", "left").groupBy("item_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     pairs = bounded_join(in_docs, anchors, ["term"], spread=["doc_id"]).select("doc_id", "item_id")
     with_passage = bounded_join(pairs, items, ["item_id"], spread=["doc_id"])
-    return docs.join(with_passage, "doc_id").filter(F.contains("text", "passage")).select("item_id", "doc_id")
+    found = docs.join(with_passage, "doc_id").filter(F.contains("text", "passage")).select("item_id", "doc_id")
+    bare = items.join(anchors, "item_id", "left_anti")
+    return found.unionByName(docs.join(bare, F.contains("text", "passage")).select("item_id", "doc_id"))
 
 
 def cases(spark, sf):
@@ -293,7 +297,7 @@ _COVER = f"""{BM25_CTE.strip()}, {_PAIRS}, qn AS (SELECT item_id AS query_id, le
 
 def text_samples(spark, sf):
     q = questions(spark, sf)
-    index = bm25.build_index(doc_chunks(spark, sf), queries=q)
+    index = stored_index(spark, sf)
     expected = verbatim(spark, sf).select(F.col("item_id").alias("query_id"), F.format_string("%d:0", "doc_id").alias("chunk_key"))
     return E.coverage_samples(E.coverage_scores(q, index.postings), expected)
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from answerloom.operators.admin import read_bm25_index, write_bm25_index
+from answerloom.operators.bm25 import Bm25Index
 from answerloom.operators.skew import spread_out
+from answerloom.session import shared_dir
 
 NOW = "2024-01-31 00:00:00"
 DIM = 64
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,6 +44,16 @@ def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return spread_out(chunks, "chunk_key")
 
 
+def stored_index(spark: SparkSession, sf: str) -> Bm25Index:
+    """The keyword index of ``doc_chunks``, written to the shared folder without knowing any question; once for a session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = shared_dir(spark, "index")
+        write_bm25_index(doc_chunks(spark, sf), path)
+        _STORED[key] = path
+    return read_bm25_index(spark, _STORED[key])
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 

@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from answerloom.operators import bm25
 from answerloom.registry import query
-from answerloom.registry.fixtures import BM25_CTE, doc_chunks, questions
+from answerloom.registry.fixtures import BM25_CTE, doc_chunks, questions, stored_index
 
 
 def search_all(spark, sf, k, per_kb=False):
     queries = questions(spark, sf)
-    index = bm25.build_index(doc_chunks(spark, sf), queries=queries)
-    return bm25.bm25_topk(queries, index, k, per_kb=per_kb)
+    return bm25.bm25_topk(queries, stored_index(spark, sf), k, per_kb=per_kb)
 
 
 @query("bm25_postings", f"WITH {BM25_CTE} SELECT kb_id, chunk_key, term, tf::INT AS tf FROM ps")

@@ -11,7 +11,7 @@ from answerloom.operators import bm25, fusion as R
 from answerloom.operators.vectors import hash_embed
 from answerloom.plans import search as S
 from answerloom.registry import query
-from answerloom.registry.fixtures import BM25_CTE, DIM, coverage_sql, doc_chunks, documents, questions, tokens_sql
+from answerloom.registry.fixtures import BM25_CTE, DIM, coverage_sql, doc_chunks, documents, questions, stored_index, tokens_sql
 from answerloom.registry.vectors import hash_cte
 
 CFG = dict(all_kbs=True, keyword_min_coverage=0.6, vector_min_score=0.9)
@@ -25,7 +25,7 @@ def parts(spark, sf):
         "deleted_at", F.when(F.col("lang") == "es", F.lit("2024-01-01").cast("timestamp"))
     )
     vectors = chunks.select("kb_id", "chunk_key", hash_embed("content", DIM).alias("embedding"))
-    index = bm25.build_index(chunks, queries=q)
+    index = stored_index(spark, sf)
     return q, S.Corpus(chunks, index, vectors, docs)
 
 

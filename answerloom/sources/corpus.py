@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from answerloom.functions import text as T
 
-ALLOWED = ["pdf", "md", "markdown", "txt", "csv", "json"]
+ALLOWED = ["md", "markdown", "txt", "csv", "json"]
+
+
+EXTENSION = r"\.([^./\\]+)$"
+UNSUPPORTED = "unsupported extension"
 
 
 def _extensions(allowed: Sequence[str]) -> list[str]:
@@ -17,10 +21,10 @@ def _extensions(allowed: Sequence[str]) -> list[str]:
 
 def screen(files: DataFrame, allowed: Sequence[str] = tuple(ALLOWED), name: str = "filename", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): unknown extensions and blank texts are rejected with a ``reason``."""
-    ext = F.lower(F.regexp_extract(name, r"\.([^./\\]+)$", 1))
+    ext = F.lower(F.regexp_extract(name, EXTENSION, 1))
     marked = files.withColumn("ext", ext).withColumn(
         "reason",
-        F.when(~F.col("ext").isin(_extensions(allowed)), "unsupported extension").when(
+        F.when(~F.col("ext").isin(_extensions(allowed)), UNSUPPORTED).when(
             T.trim_ws(F.coalesce(text, F.lit(""))) == "", "empty text"
         ),
     )
@@ -28,12 +32,20 @@ def screen(files: DataFrame, allowed: Sequence[str] = tuple(ALLOWED), name: str
 
 
 def read_corpus(spark: SparkSession, path: str, allowed: Sequence[str] = tuple(ALLOWED)) -> tuple[DataFrame, DataFrame]:
-    """Text files under a path, one row per file, normalised; files are split over tasks by size, never collected."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        F.col("value").alias("text"), F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("filename"),
-        F.col("_metadata.file_path").alias("path"),
+    """(accepted, rejected) text files under a path, one row per file, normalised.
+
+    Extensions are judged by the listing: only files of allowed ones are opened, so binary files are never decoded as text.
+    """
+    name = r"([^/]+)$"
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    listed = listed.select(F.regexp_extract("path", name, 1).alias("filename"), "path", F.lit("").alias("text"))
+    ext = F.lower(F.regexp_extract("_metadata.file_name", EXTENSION, 1))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).filter(ext.isin(_extensions(allowed))).select(
+        F.col("value").alias("text"), F.regexp_extract("_metadata.file_path", name, 1).alias("filename"), F.col("_metadata.file_path").alias("path"),
     )
-    return screen(files.withColumn("text", T.normalize_document("text")), allowed)
+    good, blank = screen(files.withColumn("text", T.normalize_document("text")), allowed)
+    _, refused = screen(listed, allowed)
+    return good, blank.unionByName(refused.filter(F.col("reason") == UNSUPPORTED))
 
 
 def document_shape(docs: DataFrame, text: str = "text") -> DataFrame:

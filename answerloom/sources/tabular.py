@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from answerloom.functions import text as T
@@ -21,16 +24,34 @@ def rows_to_text(df: DataFrame, cols: Sequence[str], kv: str = ": ", sep: str =
     return F.concat_ws(sep, *parts)
 
 
+def table_text(files: DataFrame, sep: str = ",", header: bool = True, file: str = "path", text: str = "text") -> DataFrame:
+    """(file, row_no, line) of each CSV file that is one row of ``files``: one line per data row, blank rows left out.
+
+    A file's first row names its cells; a cell beyond them, or with a blank name, is ``col_{i}``. A file of names only keeps
+    them as its one line. Files are rows of their own, so files of different columns may be read together.
+    """
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for path, body in zip(batch.column(file).to_pylist(), batch.column(text).to_pylist(), strict=True):
+                rows = [r for r in csv.reader(io.StringIO(body or "", newline=""), delimiter=sep) if any(c.strip() for c in r)]
+                names = [c.strip() for c in rows[0]] if rows and header else []
+                data = rows[1:] if header else rows
+                named = [" | ".join(f"{(names[i] if i < len(names) else '') or f'col_{i}'}: {c.strip()}" for i, c in enumerate(r)) for r in data]
+                if rows and not data:
+                    named = [" | ".join(c for c in names if c)]
+                out += [(path, i, line) for i, line in enumerate(named, 1)]
+            columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((batch.schema.field(file).type, pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "row_no", "line"])
+
+    return files.select(file, text).mapInArrow(lines, f"file {files.schema[file].dataType.simpleString()}, row_no int, line string")
+
+
 def read_table_text(spark, path: str, sep: str = ",", header: bool = True) -> DataFrame:
-    """CSV rows as text lines; rows whose cells are all blank are dropped."""
-    df = spark.read.csv(path, sep=sep, header=header)
-    if not header:
-        df = df.toDF(*[f"col_{i}" for i in range(len(df.columns))])
-    filled = [T.trim_ws(F.coalesce(F.col(f"`{c}`"), F.lit(""))) != "" for c in df.columns]
-    some = filled[0]
-    for cond in filled[1:]:
-        some = some | cond
-    return df.filter(some).select(rows_to_text(df, df.columns).alias("text"))
+    """CSV files under a path as text lines (see ``table_text``)."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return table_text(files, sep, header).select("file", "row_no", F.col("line").alias("text"))
 
 
 def flatten_json(df: DataFrame, ids: Sequence[str], json: str, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -126,7 +126,17 @@ def test_files_and_tables(spark, tmp_path):
     table = tmp_path / "t"
     table.mkdir()
     (table / "t.csv").write_text("name;n\n ann ;1\n;\n")
-    assert [r.text for r in tabular.read_table_text(spark, str(table), sep=";").collect()] == ["name: ann | n: 1"]
+    (table / "u.csv").write_text("a;b\n1;2;3\n")
+    (table / "v.csv").write_text("only;names\n")
+    assert sorted(r.text for r in tabular.read_table_text(spark, str(table), sep=";").collect()) == ["a: 1 | b: 2 | col_2: 3", "name: ann | n: 1", "only | names"]
+
+
+def test_files_of_other_kinds_are_not_opened(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 \xff\xfe binary")
+    (tmp_path / "b.txt").write_text("text")
+    good, bad = corpus.read_corpus(spark, str(tmp_path))
+    assert [r.filename for r in good.collect()] == ["b.txt"]
+    assert [(r.filename, r.reason, r.text) for r in bad.collect()] == [("a.pdf", "unsupported extension", "")]
 
 
 def test_case_lines(spark, tmp_path):

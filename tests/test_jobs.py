@@ -83,3 +83,38 @@ def test_vector_upsert_and_rejects(spark, tmp_path):
     A.write_vectors(spark.createDataFrame([("k", "c", [1.0, 0.0], 1), ("z", "a", [1.0, 0.0], 1)], df.schema), path, 2)
     got = sorted((r.kb_id, r.chunk_key, list(r.embedding)) for r in spark.read.parquet(path).collect())
     assert got == [("k", "a", [0.0, 1.0]), ("k", "c", [1.0, 0.0]), ("z", "a", [1.0, 0.0])]
+
+
+def test_vector_store_keeps_names_and_last_rows(spark, tmp_path):
+    path, schema = str(tmp_path / "v"), "kb_id string, chunk_key string, embedding array<double>"
+    A.write_vectors(spark.createDataFrame([("007", "a", [1.0, 0.0]), ("7", "a", [0.0, 1.0]), ("1e3", "a", [1.0, 0.0])], schema), path, 2)
+    twice = spark.createDataFrame([("007", "a", [0.0, 1.0]), ("007", "a", [0.0, 1.0])], schema)
+    A.write_vectors(twice, path, 2)
+    got = sorted((r.kb_id, r.chunk_key, list(r.embedding)) for r in A.read_stored(spark, path, "kb_id string, chunk_key string, embedding array<float>").collect())
+    assert got == [("007", "a", [0.0, 1.0]), ("1e3", "a", [1.0, 0.0]), ("7", "a", [0.0, 1.0])]
+
+
+def test_a_failing_read_is_raised_and_keeps_the_store(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "v"), "kb_id string, chunk_key string, embedding array<double>"
+    A.write_vectors(spark.createDataFrame([("k", "a", [1.0, 0.0])], schema), path, 2)
+
+    def broken(*_):
+        raise OSError("storage")
+
+    monkeypatch.setattr(A, "read_stored", broken)
+    with pytest.raises(OSError):
+        A.write_vectors(spark.createDataFrame([("k", "b", [1.0, 0.0])], schema), path, 2)
+    monkeypatch.undo()
+    assert A.read_stored(spark, path, "kb_id string, chunk_key string, embedding array<float>").count() == 1
+
+
+def test_index_of_an_emptied_collection_is_cleared(spark, tmp_path):
+    schema = "kb_id string, chunk_key string, content string"
+    chunks = spark.createDataFrame([("007", "a", "apple pear"), ("7", "b", "apple"), ("7", "c", "plum")], schema)
+    path = str(tmp_path / "i")
+    A.write_bm25_index(chunks, path)
+    index = A.update_bm25_index(path, spark.createDataFrame([("7", "c", "kiwi")], schema), spark.createDataFrame([("007", "a")], "kb_id string, chunk_key string"))
+    assert sorted((r.kb_id, r.chunk_key, r.term, r.tf) for r in index.postings.collect()) == [("7", "b", "apple", 1), ("7", "c", "kiwi", 1)]
+    assert [(r.kb_id, r.n) for r in index.corpus.collect()] == [("7", 2)] and sorted(r.term for r in index.terms.collect()) == ["apple", "kiwi"]
+    index = A.write_bm25_index(chunks.filter("kb_id = '007'").withColumn("content", F.lit("!")), path, chunks.select("kb_id"))
+    assert index.postings.count() == 0 and [(r.kb_id, r.n) for r in index.corpus.collect()] == [("007", 1)]

@@ -36,11 +36,10 @@ def test_bm25_repeated_query_tokens_add(spark):
     assert twice[(0, "0:0")] == pytest.approx(2 * once[(0, "0:0")], abs=1e-8)
 
 
-def test_bm25_restricted_index_and_salted_join_agree(spark, monkeypatch):
+def test_bm25_salted_join_agrees(spark, monkeypatch):
     texts = [f"apple word{i % 7} word{i % 3}" for i in range(40)]
     q = ask(spark, "apple word1", "word2 word5 word5")
     full = scores(bm25.bm25_topk(q, bm25.build_index(chunks(spark, texts)), 50))
-    assert scores(bm25.bm25_topk(q, bm25.build_index(chunks(spark, texts), queries=q), 50)) == full
     monkeypatch.setattr("answerloom.operators.skew.BROADCAST_ROWS", 0)
     assert scores(bm25.bm25_topk(q, bm25.build_index(chunks(spark, texts)), 50)) == full
 
