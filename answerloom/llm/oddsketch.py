@@ -23,7 +23,7 @@ SLACK = 0.15
 #: Rows of a bucket that meet in one tile with as many others.
 TILE = 256
 
-_SIGNATURE = "doc_id long, n_shingles long, print binary, bands array<long>, sketch binary, parity binary"
+_SIGNATURE = "doc_id long, t long, n_shingles long, print binary, bands array<long>, sketch binary, parity binary"
 
 
 def _parity(rows: np.ndarray, bits: np.ndarray, n: int) -> np.ndarray:
@@ -50,7 +50,7 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 def _signatures(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     multiply, add = constants(SAMPLES, 101), constants(SAMPLES, 202)
-    of_band, ids = constants(BANDS * ROWS, 303).reshape(BANDS, ROWS), batch.column("doc_id")
+    of_band, ids = constants(BANDS * ROWS, 303).reshape(BANDS, ROWS), batch.select(["doc_id", "t"]).columns
     for first, last, values, bounds in _sets(batch):
         n, sizes = last - first, np.diff(bounds)
         full = np.flatnonzero(sizes)
@@ -66,11 +66,11 @@ def _signatures(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         prints = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
-                ids.slice(first, n), pa.array(sizes.astype(np.int64)), pa.array(prints, pa.binary()),
+                *(c.slice(first, n) for c in ids), pa.array(sizes.astype(np.int64)), pa.array(prints, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel())),
                 pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([x.tobytes() for x in parity], pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "print", "bands", "sketch", "parity"],
+            names=["doc_id", "t", "n_shingles", "print", "bands", "sketch", "parity"],
         )
 
 
@@ -167,7 +167,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, cols: tuple[str, str] =
     - Rows that repeat an id are rows of their own with that id. Other columns are ignored; an empty table gives
       an empty result.
     """
-    docs = docs.select(F.col(cols[0]).cast("long").alias("doc_id"), F.col(cols[1]).alias("text"))
+    return _classed(docs.select(F.col(cols[0]).cast("long").alias("doc_id"), F.col(cols[1]).alias("text")), percent).drop("t")
+
+
+def survivors(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row of each group of near duplicates in ``docs`` (doc_id, text, ...), with all columns: of the rows that have the
+    group's smallest id, the one whose text has the smallest hash. Texts without words are groups by id."""
+    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_t", F.xxhash64("text"))
+    kept = _classed(rows.select(F.col("_id").alias("doc_id"), "text"), percent).where("kept").groupBy(F.col("component_id").alias("_id")).agg(F.min("t").alias("_t"))
+    return rows.join(kept, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]).select(*docs.columns)
+
+
+def _classed(docs: DataFrame, percent: int) -> DataFrame:
+    """``near_duplicates`` with ``t``, a hash of the text."""
+    docs = docs.withColumn("t", F.xxhash64("text"))
     signed = saved(docs.mapInArrow(over_batches(_signatures), _SIGNATURE), "sketches")
     classes = signed.where("n_shingles > 0").groupBy("print").agg(
         F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch", "parity"))
@@ -179,7 +192,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, cols: tuple[str, str] =
     held = members.join(crowd, "key").withColumn("chunks", F.ceil(F.col("n") / TILE).cast("long"))
     held = saved(held.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks"))), "buckets")
     involved = saved(held.select("id").distinct(), "involved")
-    sets = saved(docs.withColumnRenamed("doc_id", "id").join(involved, "id", "left_semi").mapInArrow(over_batches(_full_sets), "id long, held array<long>").dropDuplicates(["id"]), "sets")
+    sets = saved(docs.select(F.col("doc_id").alias("id"), "text").join(involved, "id", "left_semi").mapInArrow(over_batches(_full_sets), "id long, held array<long>").dropDuplicates(["id"]), "sets")
     sketches = classes.select("id", "n_shingles", "sketch", "parity").join(involved, "id", "left_semi")
 
     def proposed(tiled: DataFrame, every: bool) -> DataFrame:
@@ -208,6 +221,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, cols: tuple[str, str] =
         found = components(links.union(late))
 
     class_of = classes.select("print", "id").join(found, "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
-    rows = signed.select("doc_id", "n_shingles", "print").join(class_of, "print", "left")
+    rows = signed.select("doc_id", "t", "n_shingles", "print").join(class_of, "print", "left")
     rows = rows.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return rows.select("doc_id", "t", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
