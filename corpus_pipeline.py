@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from answerloom.llm import curriculum, decontaminate, pii, toxicity  # noqa: E402
 from answerloom.llm.common import saved, table  # noqa: E402
-from answerloom.llm.oddsketch import near_duplicates  # noqa: E402
+from answerloom.llm.oddsketch import survivors  # noqa: E402
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,9 +23,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the one with the smallest id, and of rows that repeat an id one."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates: the one with the smallest id."""
+    return survivors(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
