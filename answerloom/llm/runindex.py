@@ -20,12 +20,10 @@ GRAM = 32
 MOST_STARTS = 240
 #: An anchor with more different passages than this is counted string by string instead of indexed in one task.
 MOST_PASSAGES = 1000
-#: Bytes of passages to an index, save where one anchor has more.
-INDEX_BYTES = 1 << 20
-#: Characters of nine bits in the first sort key, and the lengths that doubling reaches; the last covers any passage.
-_PACK = 7
-_DEPTHS = [_PACK << i for i in range(7)]
-assert _DEPTHS[-1] >= MOST_STARTS + LENGTH
+#: Bytes of passages to an index, save where one anchor has more: small enough for a core's cache.
+INDEX_BYTES = 1 << 18
+#: Bits of a sort key.
+_KEY_BITS = 62
 
 _WIDE = LENGTH - GRAM + 1
 _RUN = "doc_id long, t int, start int, n int, anchor long, content long, twice boolean"
@@ -115,48 +113,56 @@ class RunIndex:
     """
 
     def __init__(self, data: np.ndarray, ends: np.ndarray):
-        n = len(data)
-        self.n, stop = n, np.repeat(ends, np.diff(np.append([0], ends)))
-        chars = np.zeros(n + _PACK, dtype=np.int64)
-        chars[:n] = data.astype(np.int64) + 1
-        at = np.arange(n)
-        left = stop - at
+        n, sizes = len(data), np.diff(np.append([0], ends))
+        self.n, at = n, np.arange(n)
+        left = (np.repeat(ends, sizes) - at).astype(np.int32)
+        seen = np.zeros(256, dtype=bool)
+        seen[data] = True
+        code = np.cumsum(seen)
+        bits = int(code[-1]).bit_length()
+        depth = _KEY_BITS // bits
+        chars = np.zeros(n + depth, dtype=np.int64)
+        chars[:n] = code[data]
         key = np.zeros(n, dtype=np.int64)
-        for j in range(_PACK):
-            key = (key << 9) | np.where(left > j, chars[j : j + n], 0)
-        ranks = []
-        for depth in _DEPTHS:
-            order = np.argsort(key, kind="stable")
-            ranked = key[order]
-            rank = np.zeros(n + 1, dtype=np.int64)
-            rank[order] = np.cumsum(np.append([1], ranked[1:] != ranked[:-1]))
-            ranks.append(rank)
-            key = rank[:n] * (n + 2) + np.where(left > depth, rank[np.minimum(at + depth, n)], 0)
-        before = np.where(order > 0, chars[order - 1], 0)
+        for j in range(depth):
+            key = (key << bits) | np.where(left > j, chars[j : j + n], 0)
+        width = n.bit_length()
+        ways, ranks = _KEY_BITS // width, []
+        while True:  # each round ranks the suffixes by ``ways`` times as many bytes
+            order = np.argsort(key)
+            fresh = np.append([True], key[order[1:]] != key[order[:-1]])
+            rank = np.zeros(n + 1, dtype=np.int32)
+            rank[order] = np.cumsum(fresh, dtype=np.int32)
+            ranks.append((depth, rank))
+            if depth >= sizes.max():
+                break
+            key = rank[:n].astype(np.int64)
+            for w in range(1, ways):
+                key <<= width
+                m = max(0, n - w * depth)
+                key[:m] |= np.where(left[:m] > w * depth, rank[n - m : n], 0)
+            depth *= ways
+        tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))  # equal to their passages' ends, so in passage order
+        order[tied] = order[tied][np.lexsort((order[tied], rank[order[tied]]))]
         start = np.zeros(n, dtype=bool)
         start[0] = True
-        start[ends[:-1][ends[:-1] < n]] = True
-        before = np.where(start[order], 0, before)  # the mark of the passage before: a run of its own each
-        head = np.append([True], (before[1:] != before[:-1]) | (before[1:] == 0))
-        head = np.flatnonzero(head)
-        self.position = order[head]
-        self.previous = np.where(head > 0, order[head - 1], -1)
-        self.agree = self._agreement(ranks, chars, left)
+        start[ends[:-1]] = True
+        before = np.where(start[order], 0, chars[order - 1])  # 0 is the mark before a passage: a run of its own each
+        head = np.flatnonzero(np.append([True], (before[1:] != before[:-1]) | (before[1:] == 0)))
+        self.position, self.previous = order[head], np.where(head > 0, order[head - 1], -1)
         by_position = np.argsort(self.position)
-        self.position, self.previous, self.agree = self.position[by_position], self.previous[by_position], self.agree[by_position]
+        self.position, self.previous = self.position[by_position], self.previous[by_position]
+        self.agree = self._agreement(ranks, ways, chars, left)
 
-    def _agreement(self, ranks: list[np.ndarray], chars: np.ndarray, left: np.ndarray) -> np.ndarray:
+    def _agreement(self, ranks: list[tuple[int, np.ndarray]], ways: int, chars: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes at a run's first place and at the place before have in common."""
         i, j = self.position, np.maximum(self.previous, 0)
         most = np.where(self.previous >= 0, np.minimum(left[i], left[j]), 0)
         same = np.zeros(len(i), dtype=np.int64)
-        for rank, depth in zip(ranks[::-1], _DEPTHS[::-1], strict=True):
+        steps = [(depth, rank) for depth, rank in reversed(ranks) for _ in range(ways - 1)] + [(1, chars)] * (ranks[0][0] - 1)
+        for depth, rank in steps:
             equal = (same < most) & (rank[np.minimum(i + same, self.n)] == rank[np.minimum(j + same, self.n)])
-            same += np.where(equal, depth, 0)
-        for _ in range(_PACK - 1):
-            equal = (same < most) & (chars[np.minimum(i + same, self.n)] == chars[np.minimum(j + same, self.n)])
-            going = equal if _ == 0 else equal & going
-            same += going
+            same[equal] += depth
         return np.minimum(same, most)
 
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
@@ -164,9 +170,8 @@ class RunIndex:
 
         Within a run both follow from the last sample passed: each further position agrees one byte less.
         """
-        at = np.arange(self.n)
-        last = np.searchsorted(self.position, at, "right") - 1
-        gone = at - self.position[last]
+        last = np.repeat(np.arange(len(self.position)), np.diff(np.append(self.position, self.n)))
+        gone = np.arange(self.n) - self.position[last]
         return np.maximum(self.agree[last] - gone, 0), self.previous[last] + gone
 
     def repeated(self) -> np.ndarray:
@@ -185,27 +190,34 @@ def _ranges(flags: np.ndarray) -> list[int]:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of the passages of a partition sorted by anchor."""
+    """Marks of the passages of a partition sorted by anchor.
+
+    A passage that occurs twice or more is wholly repeated; where it is its anchor's only one, an index has nothing to add.
+    """
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
     for rows in sorted_groups(batches, ["anchor"]):
         key = rows.column("anchor").to_numpy()
         texts, many = rows.column("bytes").to_pylist(), rows.column("many").to_pylist()
         content, n = rows.column("content").to_pylist(), rows.column("n").to_pylist()
-        bounds, lo, size = group_bounds(key), 0, 0
+        bounds, size = group_bounds(key), 0
         out: list[tuple] = []
+        part: list[int] = []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            size += sum(map(len, texts[a:b]))
-            if size < INDEX_BYTES and b < len(key):
+            if b - a == 1 and many[a]:
+                out.append((int(key[a]), content[a], n[a], [0, n[a]]))
+            else:
+                part += range(a, b)
+                size += sum(map(len, texts[a:b]))
+            if not part or size < INDEX_BYTES and b < len(key):
                 continue
-            part = texts[lo:b]
-            ends = np.cumsum([len(x) for x in part])
-            flags = RunIndex(np.frombuffer(b"".join(part), dtype=np.uint8), ends).repeated()
-            for i in range(lo, b):
-                begin = ends[i - lo] - len(texts[i])
+            ends = np.cumsum([len(texts[i]) for i in part])
+            flags = RunIndex(np.frombuffer(b"".join(texts[i] for i in part), dtype=np.uint8), ends).repeated()
+            for i, end in zip(part, ends, strict=True):
+                begin = end - len(texts[i])
                 own = flags[begin : begin + n[i]] | many[i]
                 if own.any():
                     out.append((int(key[i]), content[i], n[i], _ranges(own)))
-            lo, size = b, 0
+            part, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["anchor", "content", "n", "ranges"])
 
 
