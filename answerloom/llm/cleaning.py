@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: White space that ends words, as a class of Java's regular expressions.
@@ -10,17 +13,19 @@ BLANK = r"[\x20\x09-\x0D]+"
 SHORT_LINE = 4
 #: Ends of a sentence, with closing marks after it.
 STOP = r"""[.!?…。！？:;]["'”’»)\]]*$"""
-#: Navigation: words between bars, arrows and dots, or a short line that names where to go.
+#: Navigation: words between bars, arrows and dots, or a line of at most NAVIGATION_CHARS characters that names where to go.
+BARS = "|»›→·"
+BARRED = r"[^\x20\x09-\x0D][\x20\x09-\x0D]*[|»›→·][\x20\x09-\x0D]*[^\x20\x09-\x0D]+.*[|»›→·]"
+NAVIGATION_CHARS = 60
 NAVIGATION = (
-    r"(?i)(?:[^\x20\x09-\x0D][\x20\x09-\x0D]*[|»›→·][\x20\x09-\x0D]*[^\x20\x09-\x0D]+.*[|»›→·])"
-    r"|^[^A-Za-z0-9_]*(?:home|menu|login|log in|sign (?:in|up)|next|previous|prev|back(?: to top)?|share|search|skip to .*|read more|more|"
+    r"(?i)^[^A-Za-z0-9_]*(?:home|menu|login|log in|sign (?:in|up)|next|previous|prev|back(?: to top)?|share|search|skip to .*|read more|more|"
     r"contact(?: us)?|about(?: us)?|impressum|kontakt|accueil|inicio)[^A-Za-z0-9_]*$"
 )
-#: Boilerplate: sentences that sites and programs add.
+#: Boilerplate: what sites and programs add, in lower case.
 BOILERPLATE = (
-    r"(?i)(?:all rights reserved|copyright (?:\(c\)|©|[0-9]{4})|^[^A-Za-z0-9_]*©|terms of (?:use|service)|privacy policy|cookie(?:s| policy)|"
-    r"enable javascript|lorem ipsum|click here|subscribe (?:now|to)|licensed under|powered by)"
-)
+    "all rights reserved", "copyright (c)", "copyright ©", "© ", "terms of use", "terms of service", "privacy policy", "cookies", "cookie policy",
+    "enable javascript", "lorem ipsum", "click here", "subscribe now", "subscribe to", "licensed under", "powered by",
+)
 #: Part of a text's word characters that may go before the text is rejected, in percent.
 MOST_LOST = 50
 #: Words a text must keep.
@@ -35,67 +40,75 @@ def words(text: Column) -> Column:
 def line_fails(line: Column) -> Column:
     """Whether a line with a word is to go: navigation, boilerplate, or a longer line that no sentence end closes.
 
-    Short lines without navigation are headings and stay.
+    Short lines without navigation are headings and stay. Cheap signs go before regular expressions.
     """
-    trimmed = F.regexp_replace(line, r"[\x20\x09-\x0D]+$", "")
-    spaces = F.size(words(trimmed))
-    return (
-        F.rlike(trimmed, F.lit(NAVIGATION))
-        | F.rlike(trimmed, F.lit(BOILERPLATE))
-        | ((spaces > SHORT_LINE) & ~F.rlike(F.right(trimmed, F.lit(16)), F.lit(STOP)))
+    end = F.regexp_replace(F.right(line, F.lit(32)), r"[\x20\x09-\x0D]+$", "")
+    end = F.when(end == "", F.regexp_replace(line, r"[\x20\x09-\x0D]+$", "")).otherwise(end)
+    barred = reduce(or_, (F.contains(line, F.lit(b)) for b in BARS)) & F.rlike(line, F.lit(BARRED))
+    named = (F.length(line) <= NAVIGATION_CHARS) & F.rlike(line, F.lit(NAVIGATION))
+    low = F.lower(line)
+    added = reduce(or_, (F.contains(low, F.lit(b)) for b in BOILERPLATE))
+    long_ = F.rlike(line, F.lit(rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++{BLANK}){{{SHORT_LINE}}}[^\x20\x09-\x0D]"))
+    return (long_ & ~F.rlike(end, F.lit(STOP))) | barred | named | added
+
+
+def _runs(hashes: Column) -> Column:
+    """Hashes of all runs of WINDOW words, from the hashes of the words; null for fewer words."""
+    n = F.size(hashes)
+    run = lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW)))
+    return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), run))
+
+
+def _covered(runs: Column) -> Column:
+    """How many words lie in runs that occur twice or more: the places of the runs with an equal neighbour in sorted order
+    are sorted, and each adds what the one before it leaves of its words."""
+    order = F.array_sort(F.zip_with(runs, F.sequence(F.lit(0), F.size(runs) - 1), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return F.aggregate(
+        F.array_sort(_twins(order)),
+        F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("bigint").alias("n")),
+        lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")),
+        lambda acc: acc["n"],
     )
 
 
-def _repeated(ws: Column) -> Column:
-    """How many words lie in runs of five words that occur twice or more in the text.
-
-    Runs are compared by a 64-bit hash. Only a text with fewer distinct runs than runs sorts them; the places of
-    the runs that have an equal neighbour are then sorted, and each adds what the one before it leaves of its five words.
-    """
-    n = F.size(ws)
-    runs = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(F.concat_ws("\x20", F.slice(ws, i + 1, F.lit(WINDOW))))))
-
-    def covered(h: Column) -> Column:
-        order = F.array_sort(F.zip_with(h, F.sequence(F.lit(0), F.size(h) - 1), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.aggregate(
-            F.array_sort(_twins(order)),
-            F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("bigint").alias("n")),
-            lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")),
-            lambda acc: acc["n"],
-        )
-
-    return F.when(n < WINDOW, F.lit(0).cast("bigint")).when(F.size(F.array_distinct(runs)) == F.size(runs), F.lit(0).cast("bigint")).otherwise(covered(runs))
-
-
 def _twins(order: Column) -> Column:
     """Places of the sorted (hash, place) whose hash stands next to an equal one."""
-    before = F.concat(F.array(F.lit(None).cast("bigint")), F.transform(order, lambda x: x["h"]))
-    after = F.concat(F.slice(F.transform(order, lambda x: x["h"]), F.lit(2), F.size(order)), F.array(F.lit(None).cast("bigint")))
-    both = F.zip_with(F.slice(before, F.lit(1), F.size(order)), after, lambda b, a: F.struct(b.alias("b"), a.alias("a")))
+    hashes = F.transform(order, lambda x: x["h"])
+    none = F.array(F.lit(None).cast("bigint"))
+    before, after = F.concat(none, F.slice(hashes, F.lit(1), F.size(order) - 1)), F.concat(F.slice(hashes, F.lit(2), F.size(order)), none)
+    both = F.zip_with(before, after, lambda b, a: F.struct(b.alias("b"), a.alias("a")))
     rows = F.zip_with(order, both, lambda x, y: F.struct(x["i"].alias("i"), (F.coalesce(x["h"] == y["b"], F.lit(False)) | F.coalesce(x["h"] == y["a"], F.lit(False))).alias("twin")))
     return F.transform(F.filter(rows, lambda x: x["twin"]), lambda x: x["i"])
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with the base figures, the cleaned text and the verdict."""
+    """``docs`` (doc_id, text) with the base figures, the cleaned text and the verdict.
+
+    Runs of words are compared by a 64-bit hash; only a text with fewer distinct runs than runs sorts them. What the cleaned
+    text has left is what the removed lines take away.
+    """
     text = F.coalesce("text", F.lit(""))
+    total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("bigint"), lambda acc, x: acc + f(x))
     rows = docs.withColumn("_words", words(text)).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
-    chars = lambda t: F.length(F.regexp_replace(t, BLANK, ""))
+    rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("_gone", F.filter("_lines", line_fails))
+    rows = rows.withColumn("_runs", _runs(F.col("_hashes")))
+    once = F.size(F.array_distinct("_runs")) == F.size("_runs")
     rows = rows.select(
         *docs.columns,
         F.size("_words").cast("bigint").alias("n_words"),
-        chars(text).cast("bigint").alias("word_chars"),
-        F.length(F.regexp_replace(text, r"[^#*$%&|<>]", "")).cast("bigint").alias("n_symbols"),
+        total(F.col("_words"), F.length).alias("word_chars"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        _repeated(F.col("_words")).alias("n_repeat_words"),
-        F.size("_lines").alias("_n_lines"),
-        F.filter("_lines", lambda x: ~line_fails(x)).alias("_good"),
+        F.when(F.col("_runs").isNull() | once, F.lit(0).cast("bigint")).otherwise(_covered(F.col("_runs"))).alias("n_repeat_words"),
+        F.size("_gone").cast("bigint").alias("n_lines_removed"),
+        F.array_join(F.filter("_lines", lambda x: ~line_fails(x)), "\n").alias("clean_text"),
+        total(F.col("_gone"), lambda x: F.length(F.regexp_replace(x, BLANK, ""))).alias("_gone_chars"),
+        total(F.col("_gone"), lambda x: F.size(words(x))).alias("_gone_words"),
     )
-    rows = rows.withColumn("clean_text", F.array_join("_good", "\n")).withColumn("n_lines_removed", (F.col("_n_lines") - F.size("_good")).cast("bigint"))
-    rows = rows.withColumn("clean_chars", chars(F.col("clean_text")).cast("bigint"))
+    rows = rows.withColumn("clean_chars", F.col("word_chars") - F.col("_gone_chars"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    little = (100 * (F.col("word_chars") - F.col("clean_chars")) > MOST_LOST * F.col("word_chars")) | (F.size(words(F.col("clean_text"))) < LEAST_WORDS)
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~little).drop("_n_lines", "_good")
+    little = (100 * F.col("_gone_chars") > MOST_LOST * F.col("word_chars")) | (F.col("n_words") - F.col("_gone_words") < LEAST_WORDS)
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~little).drop("_gone_chars", "_gone_words")
 
 
 def judged(docs: DataFrame) -> DataFrame:
