@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -21,16 +22,18 @@ NAVIGATION = (
     r"(?i)^[^A-Za-z0-9_]*(?:home|menu|login|log in|sign (?:in|up)|next|previous|prev|back(?: to top)?|share|search|skip to .*|read more|more|"
     r"contact(?: us)?|about(?: us)?|impressum|kontakt|accueil|inicio)[^A-Za-z0-9_]*$"
 )
-#: Boilerplate: what sites and programs add, in lower case.
+#: Boilerplate that sites and programs add; as here, with a capital first, or in capitals.
 BOILERPLATE = (
-    "all rights reserved", "copyright (c)", "copyright ©", "© ", "terms of use", "terms of service", "privacy policy", "cookies", "cookie policy",
-    "enable javascript", "lorem ipsum", "click here", "subscribe now", "subscribe to", "licensed under", "powered by",
+    "all rights reserved", "copyright (c)", "©", "terms of use", "terms of service", "privacy policy", "cookie policy", "enable javascript",
+    "lorem ipsum", "click here", "licensed under", "powered by",
 )
+FORMS = sorted({form for w in BOILERPLATE for form in (w, w.capitalize(), w.upper())})
 #: Part of a text's word characters that may go before the text is rejected, in percent.
 MOST_LOST = 50
 #: Words a text must keep.
 LEAST_WORDS = 10
 WINDOW = 5
+_PLACE_BITS = 24
 
 
 def words(text: Column) -> Column:
@@ -46,8 +49,7 @@ def line_fails(line: Column) -> Column:
     end = F.when(end == "", F.regexp_replace(line, r"[\x20\x09-\x0D]+$", "")).otherwise(end)
     barred = reduce(or_, (F.contains(line, F.lit(b)) for b in BARS)) & F.rlike(line, F.lit(BARRED))
     named = (F.length(line) <= NAVIGATION_CHARS) & F.rlike(line, F.lit(NAVIGATION))
-    low = F.lower(line)
-    added = reduce(or_, (F.contains(low, F.lit(b)) for b in BOILERPLATE))
+    added = reduce(or_, (F.contains(line, F.lit(b)) for b in FORMS))
     long_ = F.rlike(line, F.lit(rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++{BLANK}){{{SHORT_LINE}}}[^\x20\x09-\x0D]"))
     return (long_ & ~F.rlike(end, F.lit(STOP))) | barred | named | added
 
@@ -59,47 +61,61 @@ def _runs(hashes: Column) -> Column:
     return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), run))
 
 
-def _covered(runs: Column) -> Column:
-    """How many words lie in runs that occur twice or more: the places of the runs with an equal neighbour in sorted order
-    are sorted, and each adds what the one before it leaves of its words."""
-    order = F.array_sort(F.zip_with(runs, F.sequence(F.lit(0), F.size(runs) - 1), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+def _places(order: Column, same: Column, place: Callable[[Column], Column]) -> Column:
+    """Sorted places of the sorted runs that equal the one before them, and of those before."""
+    return F.sort_array(F.array_distinct(F.concat(F.transform(same, lambda i: place(F.get(order, i))), F.transform(same, lambda i: place(F.get(order, i - 1))))))
+
+
+def _covered(places: Column) -> Column:
+    """Words in the runs at sorted places: each adds what the one before it leaves."""
     return F.aggregate(
-        F.array_sort(_twins(order)),
-        F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("bigint").alias("n")),
-        lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")),
+        places,
+        F.struct(F.lit(-WINDOW).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n")),
+        lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW).cast("bigint"), i - acc["last"])).alias("n")),
         lambda acc: acc["n"],
     )
 
 
-def _twins(order: Column) -> Column:
-    """Places of the sorted (hash, place) whose hash stands next to an equal one."""
-    hashes = F.transform(order, lambda x: x["h"])
-    none = F.array(F.lit(None).cast("bigint"))
-    before, after = F.concat(none, F.slice(hashes, F.lit(1), F.size(order) - 1)), F.concat(F.slice(hashes, F.lit(2), F.size(order)), none)
-    both = F.zip_with(before, after, lambda b, a: F.struct(b.alias("b"), a.alias("a")))
-    rows = F.zip_with(order, both, lambda x, y: F.struct(x["i"].alias("i"), (F.coalesce(x["h"] == y["b"], F.lit(False)) | F.coalesce(x["h"] == y["a"], F.lit(False))).alias("twin")))
-    return F.transform(F.filter(rows, lambda x: x["twin"]), lambda x: x["i"])
+def _with_repeated(rows: DataFrame) -> DataFrame:
+    """``rows`` (_runs) with n_repeat_words: words in runs that occur twice or more.
+
+    Only a text with fewer distinct runs than runs sorts them, as numbers of 40 bits of hash and 24 of place; where two
+    runs agree in those bits alone, or a text has more places, whole hashes are sorted with their places instead.
+    """
+    runs, few = F.col("_runs"), F.lit(0).cast("bigint")
+    again = runs.isNotNull() & (F.size(F.array_distinct(runs)) < F.size(runs))
+    wide = F.size(runs) >= 1 << _PLACE_BITS
+    mask = (1 << _PLACE_BITS) - 1
+    packed = F.transform(runs, lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint")))
+    place = lambda x: x.bitwiseAND(F.lit(mask))
+    rows = rows.withColumn("_order", F.when(again & ~wide, F.sort_array(packed)))
+    rows = rows.withColumn("_same", F.filter(F.sequence(F.lit(1), F.size("_order") - 1), lambda i: F.shiftright(F.get("_order", i).bitwiseXOR(F.get("_order", i - 1)), _PLACE_BITS) == 0))
+    at = lambda i: F.get("_runs", place(F.get("_order", i)).cast("int"))
+    clash = wide | F.exists("_same", lambda i: at(i) != at(i - 1))
+    rows = rows.withColumn("_whole", F.when(again & clash, F.array_sort(F.transform(runs, lambda h, i: F.struct(h.alias("h"), i.cast("bigint").alias("i"))))))
+    whole_same = F.filter(F.sequence(F.lit(1), F.size("_whole") - 1), lambda i: F.get("_whole", i)["h"] == F.get("_whole", i - 1)["h"])
+    by_whole = _covered(_places(F.col("_whole"), whole_same, lambda x: x["i"]))
+    n = F.when(~again, few).when(F.col("_whole").isNotNull(), by_whole).otherwise(_covered(_places(F.col("_order"), F.col("_same"), place)))
+    return rows.withColumn("n_repeat_words", F.coalesce(n, few)).drop("_order", "_same", "_whole")
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with the base figures, the cleaned text and the verdict.
 
-    Runs of words are compared by a 64-bit hash; only a text with fewer distinct runs than runs sorts them. What the cleaned
-    text has left is what the removed lines take away.
+    Runs of words are compared by a 64-bit hash. What the cleaned text has left is what the removed lines take away.
     """
     text = F.coalesce("text", F.lit(""))
     total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("bigint"), lambda acc, x: acc + f(x))
     rows = docs.withColumn("_words", words(text)).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
     rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("_gone", F.filter("_lines", line_fails))
-    rows = rows.withColumn("_runs", _runs(F.col("_hashes")))
-    once = F.size(F.array_distinct("_runs")) == F.size("_runs")
+    rows = _with_repeated(rows.withColumn("_runs", _runs(F.col("_hashes"))))
     rows = rows.select(
         *docs.columns,
         F.size("_words").cast("bigint").alias("n_words"),
         total(F.col("_words"), F.length).alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        F.when(F.col("_runs").isNull() | once, F.lit(0).cast("bigint")).otherwise(_covered(F.col("_runs"))).alias("n_repeat_words"),
+        "n_repeat_words",
         F.size("_gone").cast("bigint").alias("n_lines_removed"),
         F.array_join(F.filter("_lines", lambda x: ~line_fails(x)), "\n").alias("clean_text"),
         total(F.col("_gone"), lambda x: F.length(F.regexp_replace(x, BLANK, ""))).alias("_gone_chars"),

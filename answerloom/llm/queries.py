@@ -36,7 +36,7 @@ ORACLES["op6_line_first"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS
   t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
   c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM t, (SELECT unnest([0, 1, 2, 3, 4]) AS k) GROUP BY doc_id),
   l AS (SELECT *, list_filter(ls, lambda x: NOT (({_CONTAINS.format(x="x", bars=_any(cleaning.BARS))} AND regexp_matches(x, {_quoted(cleaning.BARRED)}))
-          OR (length(x) <= {cleaning.NAVIGATION_CHARS} AND regexp_matches(x, {_quoted(cleaning.NAVIGATION)})) OR {_CONTAINS.format(x="lower(x)", bars=_any(cleaning.BOILERPLATE))}
+          OR (length(x) <= {cleaning.NAVIGATION_CHARS} AND regexp_matches(x, {_quoted(cleaning.NAVIGATION)})) OR {_CONTAINS.format(x="x", bars=_any(cleaning.FORMS))}
           OR (len({_WORDS.format(x="x")}) > {cleaning.SHORT_LINE} AND NOT regexp_matches(right({_TRIM}, 16), {_quoted(cleaning.STOP)})))) AS good FROM w),
   m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, {_CHARS.format(x="text")}::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
           (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, (len(ls) - len(good))::BIGINT AS n_lines_removed,

@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter
 
-from answerloom.llm import curriculum, pii
+import pytest
+
+from answerloom.llm import cleaning, curriculum, pii
 from answerloom.llm.cleaning import judged, measure
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -88,7 +90,9 @@ def figures(text):
     return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit), failed
 
 
-def test_cleaning_figures(spark):
+@pytest.mark.parametrize("bits", [24, 62, 3])  # usual; hashes that nearly always clash; texts with more places
+def test_cleaning_figures(spark, monkeypatch, bits):
+    monkeypatch.setattr(cleaning, "_PLACE_BITS", bits)
     rng = random.Random(4)
     texts = [None, "", "\n\n", "a", "a b c d e a b c d e", "x " * 50, "é|<> #\n" * 7, "a b c\x1cd e\x85f"]
     texts += [" ".join(rng.choice("abcdef") + rng.choice(["", "", ".", "\n"]) for _ in range(rng.randrange(0, 120))) for _ in range(150)]
