@@ -130,12 +130,17 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.nd
     return mix(value[at]), at, words.doc[at]
 
 
-def over_batches(work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable:
-    """For mapInArrow: the results of each batch, one after another."""
+def over_batches(work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], by: str | None = None, size: int = 1 << 22) -> Callable:
+    """For mapInArrow: the results of each batch, one after another; with ``by``, of pieces of about ``size`` bytes of that
+    column's text, which bounds what a task holds (a row is never split)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from work(batch)
+            if by is None:
+                yield from work(batch)
+            else:
+                for first, last, _, _ in text_blocks(batch.column(by), size):
+                    yield from work(batch.slice(first, last - first))
 
     return run
 

@@ -195,7 +195,7 @@ def flag(docs: DataFrame, items: DataFrame, col: str = "text") -> DataFrame:
             columns = [batch.column(f.name) for f in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(leaks, none)], names=[*(f.name for f in names), "leaks"])
 
-        docs = docs.mapInArrow(over_batches(work), fields)
+        docs = docs.mapInArrow(over_batches(work, col), fields)
     return docs
 
 
@@ -208,5 +208,5 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any benchmark item, with the columns of ``docs``."""
     names = docs.columns
-    rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)), F.col("text").alias("_text"))
-    return flag(rows, items, "_text").where(F.size("leaks") == 0).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))
+    rows = flag(docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names))), items, f"_{names.index('text')}").where(F.size("leaks") == 0)
+    return rows.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))

@@ -233,7 +233,7 @@ def tag(docs: DataFrame, field: Field, col: str = "text") -> DataFrame:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array(hits.astype(np.int64)), pa.array(joined, pa.string())], names=[*(f.name for f in out), *new])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out]
-    return docs.mapInArrow(over_batches(work), ", ".join([*fields, "score double, n_toxic_words long, toxic_spans string"]))
+    return docs.mapInArrow(over_batches(work, col), ", ".join([*fields, "score double, n_toxic_words long, toxic_spans string"]))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -245,10 +245,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted not to be toxic, with the columns of ``docs``."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = docs.columns
-    return tag(docs.select(F.col("text").alias("_text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(names))), train(own, labels), "_text").where(
-        F.col("score") < PREDICT_AT
-    ).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))
-
-
+    own, names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), docs.columns
+    rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)))
+    rows = tag(rows, train(own, labels), f"_{names.index('text')}").where(F.col("score") < PREDICT_AT)
+    return rows.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))
