@@ -117,6 +117,16 @@ def _leaks(items: Items, values: np.ndarray) -> list[dict]:
     may, place = may[hit], place[hit]
     if not len(may):
         return []
+    best: dict[int, dict] = {}
+    longest = int(items.size.max())
+    cuts = np.flatnonzero(np.diff(may) > 2 * longest) + 1  # no window reaches from one stretch of hits to the next
+    for hits, of in zip(np.split(may, cuts), np.split(place, cuts), strict=True):
+        _look(items, values, hits, of, best)
+    return sorted(best.values(), key=lambda x: x["item_id"])
+
+
+def _look(items: Items, values: np.ndarray, may: np.ndarray, place: np.ndarray, best: dict[int, dict]) -> None:
+    """Puts into ``best`` what the windows over one stretch of hits find."""
     lo, hi = int(may[0]), int(may[-1])
     lengths = sorted({int(items.size[i]) for p in np.unique(place) for i in items.of[p]})
     longest = max(1, lengths[-1] - SHINGLE + 1)
@@ -125,7 +135,6 @@ def _leaks(items: Items, values: np.ndarray) -> list[dict]:
     sums = np.zeros((len(near) + 1, 64), dtype=np.int32)
     np.cumsum(_signs(near, _weights(items, near)), axis=0, out=sums[1:])
     by_shingle = {int(p): items.of[p] for p in np.unique(place)}
-    best: dict[int, dict] = {}
     for n in lengths:
         wide = max(1, n - SHINGLE + 1)
         touch = np.zeros(len(near) + 1, dtype=np.int64)
@@ -149,7 +158,6 @@ def _leaks(items: Items, values: np.ndarray) -> list[dict]:
                 if s >= SIMILAR and (old is None or s > old["similarity"]):
                     words = min(n, e - a + SHINGLE - 1)
                     best[item] = {"item_id": items.ids[item], "similarity": s, "first_word": lo + a, "n_words": words, "distance": int(apart[k])}
-    return sorted(best.values(), key=lambda x: x["item_id"])
 
 
 def _passes(items: DataFrame) -> list[Items]:
