@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from answerloom.llm.common import SPACE, Words, constants, fold, mix, over_batches, text_blocks
 
 #: Labelled texts that are learned from: so many toxic ones and so many others, the first by a hash of the id.
-TOXIC_TEXTS, CLEAN_TEXTS = 1000, 1500
+TOXIC_TEXTS, CLEAN_TEXTS = 800, 1200
 #: A word's features are itself and its first 3 to 7 bytes, hashed to a table of 2 ** TABLE_BITS weights.
 PREFIXES, TABLE_BITS = (3, 4, 5, 6, 7), 18
 #: A feature names toxic words when it is in at least so many toxic texts and, of all texts that have it, this part is toxic.
@@ -155,19 +155,20 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
     none = Field(np.zeros(1 << TABLE_BITS, dtype=np.float32), -6.0, np.zeros((2, 2)), np.array([-4.0, 0.0, 0.0]))
     if not len(texts) or toxic.min() == toxic.max():
         return none
-    parts, docs = [], []
-    for first, _, data, offsets in text_blocks(pa.array(texts, pa.string())):
+    parts, docs, texts_with = [], [], np.zeros((2, 1 << TABLE_BITS))
+    for first, _, data, offsets in text_blocks(pa.array(texts, pa.string()), 1 << 19):
         words = Words(data, offsets, also=_BREAK)
-        parts.append(features(words))
-        docs.append(words.doc + first)
+        f, doc = features(words), words.doc + first
+        parts.append(f)
+        docs.append(doc.astype(np.int32))
+        for label in (0, 1):
+            rows = toxic[doc] == label
+            seen = np.unique((doc[rows][:, None] << TABLE_BITS) + f[rows])
+            texts_with[label] += np.bincount(seen & ((1 << TABLE_BITS) - 1), minlength=1 << TABLE_BITS)
     f, doc = np.concatenate(parts), np.concatenate(docs)
+    del parts, docs
     if not len(f):
         return none
-    texts_with = np.zeros((2, 1 << TABLE_BITS))
-    for label in (0, 1):
-        rows = toxic[doc] == label
-        seen = np.unique((doc[rows].astype(np.int64)[:, None] << TABLE_BITS) + f[rows])
-        texts_with[label] = np.bincount(seen & ((1 << TABLE_BITS) - 1), minlength=1 << TABLE_BITS)
     rate = texts_with / np.maximum(1, np.array([(toxic == 0).sum(), (toxic == 1).sum()]))[:, None]
     seed = (texts_with[1] >= SEED_TEXTS) & (rate[1] >= SEED_PART * (rate[0] + rate[1]))
     tag = ((toxic[doc] == 1) & seed[f].any(axis=1)).astype(float)
