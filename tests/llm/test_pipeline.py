@@ -80,6 +80,30 @@ def test_items_in_several_passes(spark, monkeypatch):
     assert exact <= got
 
 
+def test_near_copies_of_items_that_share_shingles(spark, monkeypatch):
+    rng = random.Random(8)
+    prose = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    rows, twice, often, template = prose(60), prose(60), prose(60), prose(50)
+    items = [(1, " ".join(rows))] * 5 + [(i, " ".join(twice)) for i in (2, 3)] + [(i, " ".join(often)) for i in range(10, 26)]
+    items += [(i, " ".join(template + prose(10))) for i in range(30, 46)]
+    filled = items[-1][1].split()
+    docs = []
+    for d, item in enumerate((rows, twice, often, filled)):
+        copy = list(item)
+        copy[30 if item is not filled else 55] = "changed"
+        docs.append((d, " ".join(prose(40) + copy + prose(40))))
+    bench, frame = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(0, 1), (1, 2), (1, 3)} | {(2, i) for i in range(10, 26)} | {(3, 45)}
+    seen = set()
+    for n in (1000, 20, 8):
+        monkeypatch.setattr(decontaminate, "PASS_ITEMS", n)
+        found = contaminated(frame, bench).collect()
+        assert len(found) == len(want) and {(r.doc_id, r.item_id) for r in found} == want
+        seen.add(tuple(sorted((tuple(r) for r in found))))
+        assert clean(frame, bench).count() == 0
+    assert len(seen) == 1
+
+
 def test_empty_tables_and_repeats(spark):
     docs = spark.createDataFrame([(1, "one two three four five"), (1, "one two three four five"), (None, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
