@@ -43,7 +43,7 @@ _SIGN = {
     "phone": lambda t: F.contains(t, F.lit("+")),
     "iban": lambda t: F.rlike(t, F.lit(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")),
     "ssn": lambda t: F.rlike(t, F.lit(r"[0-9]-[0-9]{2}-[0-9]")),
-    "local": lambda t: F.rlike(t, F.lit(r"[0-9][\x20.-][0-9]{3}[\x20.-][0-9]{4}")),
+    "local": lambda t: F.rlike(t, F.lit(r"[0-9]\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}")),
 }
 _PATTERN = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN, "local": LOCAL}
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"

@@ -71,6 +71,22 @@ def test_pii_base_spans(spark):
     assert added[11] == ["ssn:4:15", "local:37:49", "local:53:67"] or added[11][0] == "ssn:4:15"
 
 
+def test_each_form_of_an_added_kind_alone(spark):
+    forms = {
+        "local": ["(212) 555-1234", "(212)-555-1234", "(212).555.1234", "(212 555 1234", "212) 555-1234", "212-555-1234", "212.555.1234", "212 555 1234"],
+        "ssn": ["123-45-6789"], "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"],
+    }
+    label = {"local": "phone", "ssn": "ssn", "iban": "iban"}
+    rows = [(i, k, f) for i, (k, f) in enumerate((k, f) for k, fs in forms.items() for f in fs)]
+    docs = spark.createDataFrame([(i, f"{label[k]} {f}") for i, k, f in rows], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    for i, k, f in rows:
+        a = len(label[k]) + 1
+        assert f"{k}:{a}:{a + len(f)}" in got[i].split(","), f
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert all(masked[i] == f"{label[k]} {pii.MASK[k]}" for i, k, _ in rows)
+
+
 def test_pii_masks_every_span_and_keeps_rows(spark):
     rows = list(enumerate(TEXTS))
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, pii string")
