@@ -12,7 +12,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Added kinds: an account number of a country, a national number, a telephone number without a country code.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+# Of account numbers the pattern takes the head; its group holds what may belong to the number, whose end is found by mod-97.
+IBAN = r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL = r"(?<![0-9+.()-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-]*[0-9])"
 BASE = ("email", "ip", "card", "phone")
@@ -28,6 +29,13 @@ CONTEXT = {
     "local": r"(?i)\b(?:phone|tel|call|mobile|fax|telefon|anruf|appel|llamar)\b",
 }
 NEAR = 40
+#: Lengths of account numbers by country, without spaces.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
 #: Score of a proposal that its validator confirms, what a context word adds, and the score from which a span of an
 #: added kind counts. A base span always counts; mod-97 alone is enough for an account number.
 SCORE = {"email": 0.8, "ip": 0.7, "card": 0.9, "phone": 0.8, "iban": 0.9, "ssn": 0.4, "local": 0.4}
@@ -85,35 +93,52 @@ def _valid(kind: str, s: Column) -> Column:
         return F.when(F.length(d).between(13, 19), luhn(d)).otherwise(F.lit(False))
     if kind == "phone":
         return F.length(digits(s)).between(9, 15)
-    if kind == "iban":
-        return mod97(F.regexp_replace(s, " ", ""))
     if kind == "ssn":
         return ~F.rlike(s, F.lit(r"^(?:000|666|9..)|-00-|-0000$"))
     return F.lit(True)
 
 
+def _account(s: Column) -> Column:
+    """Length of the account number that ``s`` begins with, null if there is none: it ends with a word of ``s`` and passes
+    mod-97; the length of its country goes before the longest."""
+    compact = lambda n: F.regexp_replace(F.substring(s, F.lit(1), n), " ", "")
+    whole_words = F.filter(F.sequence(F.lit(15), F.length(s)), lambda n: (F.substring(s, n + 1, F.lit(1)).isin("", " ")) & (F.substring(s, n, F.lit(1)) != " "))
+    ends = F.filter(whole_words, lambda n: (F.length(compact(n)) >= 15) & mod97(compact(n)))
+    lengths = F.create_map(*(F.lit(v) for n, names in IBAN_LENGTHS.items() for name in names.split() for v in (name, n)))
+    return F.coalesce(F.array_max(F.filter(ends, lambda n: F.length(compact(n)) == lengths[F.substring(s, F.lit(1), F.lit(2))])), F.array_max(ends))
+
+
 def _proposed(kind: str, text: Column) -> Column:
     """Confirmed spans of a kind, in code points, with their scores.
 
-    The pieces between the matches give their places. Texts without the sign are not searched.
+    The pieces between the matches give their places, and the last NEAR characters are carried along, so that time stays in
+    proportion to the text. Texts without the sign are not searched.
     """
     pattern = F.lit(_PATTERN[kind])
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     pieces = F.split(text, _PATTERN[kind], -1)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"CAST(array() AS {_SPAN})").alias("spans"))
+    no_spans = F.expr(f"CAST(array() AS {_SPAN})").alias("spans")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("free"), F.lit("").alias("tail"), no_spans)
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.length(x["hit"])
-        near = F.rlike(F.right(x["piece"], F.lit(NEAR)), F.lit(CONTEXT[kind]))
+        at = begin + F.length(x["hit"])
+        before = F.right(F.concat(acc["tail"], x["piece"]), F.lit(NEAR))
+        end = begin + _account(x["whole"]) if kind == "iban" else at
+        near = F.rlike(before, F.lit(CONTEXT[kind]))
         score = F.least(F.lit(1.0), F.lit(SCORE[kind]) + F.when(near, WITH_CONTEXT).otherwise(0.0))
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), score.alias("score"))
-        good = _valid(kind, x["hit"])
+        good = (begin >= acc["free"]) & end.isNotNull() if kind == "iban" else _valid(kind, x["hit"])
         if kind in ADDED:
             good = good & (score >= LEAST)
-        return F.struct(end.alias("at"), F.when(good, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        spans = F.when(good, F.array_append(acc["spans"], span)).otherwise(acc["spans"])
+        free = F.when(good, end).otherwise(acc["free"])
+        return F.struct(at.alias("at"), free.alias("free"), F.right(F.concat(before, x["hit"]), F.lit(NEAR)).alias("tail"), spans.alias("spans"))
 
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
+    if kind == "iban":
+        whole = F.regexp_extract_all(text, pattern, F.lit(1))
+        pairs = F.zip_with(pairs, whole, lambda x, w: F.struct(x["piece"].alias("piece"), x["hit"].alias("hit"), w.alias("whole")))
     spans = F.aggregate(pairs, start, step, lambda acc: acc["spans"])
     return F.when(_SIGN[kind](text), spans).otherwise(F.expr(f"CAST(array() AS {_SPAN})"))
 
@@ -135,8 +160,9 @@ def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for each row of ``docs``.
 
     Base spans are whole matches of the patterns that pass their checks, leftmost and without overlap within a kind; a
-    failing match is dropped without another try. Account numbers that pass mod-97 are added, and so are national and
-    local telephone numbers with a context word before them. Rows are independent; repeated rows give repeated results.
+    failing match is dropped without another try. Account numbers that pass mod-97 are added, wherever in a run of upper-case
+    words they begin and end, and so are national and local telephone numbers with a context word among the NEAR characters
+    before them, whatever else stands there. Rows are independent; repeated rows give repeated results.
     """
     base = F.filter("pii", lambda x: x["kind"].isin(*BASE))
     count = lambda k: F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("bigint")

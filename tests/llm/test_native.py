@@ -87,6 +87,23 @@ def test_each_form_of_an_added_kind_alone(spark):
     assert all(masked[i] == f"{label[k]} {pii.MASK[k]}" for i, k, _ in rows)
 
 
+def test_added_kinds_in_lists_and_runs_of_words(spark):
+    cases = [
+        ("ssn 123-45-6789 or 123-45-6789; tel 212-555-1234 or (212) 555-1234", "ssn:4:15,ssn:19:30,local:36:48,local:52:66"),
+        ("ssn 000-45-6789, 123-45-6789", "ssn:17:28"), ("tel 212-555-1234 or 212-555-9876", "local:4:16,local:20:32"),
+        ("tel " + "x" * 40 + " 212-555-9876", ""), ("tel 212-555-1234 " + "x" * 40 + " 212-555-9876", "local:4:16"),
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "iban:5:32"), ("DE89370400440532013000 BIC: X", "iban:0:22"),
+        ("NO9386011117947 GB82 WEST 1234 5698 7654 32", "iban:0:15,iban:16:43"), ("AB12 DE89 3704 0044 0532 0130 00", "iban:5:32"),
+        ("é DE89370400440532013001 DE89370400440532013000", "iban:25:47"), ("DE89370400440532013000X", ""), ("DE89 3704 0044 05", ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    added = {i: ",".join(x for x in s.split(",") if x.split(":")[0] in pii.ADDED) for i, s in got.items()}
+    assert added == {i: want for i, (_, want) in enumerate(cases)}
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert masked[5] == "IBAN [IBAN] BIC COBADEFFXXX" and masked[7] == "[IBAN] [IBAN]"
+
+
 def test_pii_masks_every_span_and_keeps_rows(spark):
     rows = list(enumerate(TEXTS))
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, pii string")
