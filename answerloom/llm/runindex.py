@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -88,7 +89,7 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     texts = [press.compress((x or "").encode()) for x in batch.column("text").to_pylist()]
-    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(texts, pa.binary())], names=["doc_id", "t", "packed"])
+    yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "t", "no_id"]).columns, pa.array(texts, pa.binary())], names=["doc_id", "t", "no_id", "packed"])
 
 
 def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -247,7 +248,11 @@ def merged(starts: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, packed, marks) of each row of ``docs`` (doc_id, t, text): marks are the repeated strings' starts."""
+    """(doc_id, t, no_id, packed, marks) of each row of ``docs`` (doc_id, t, text): marks are the repeated strings' starts.
+
+    Rows are joined by id and text hash; a row without an id (no_id) has a second hash of its text as doc_id.
+    """
+    docs = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "t", F.col("doc_id").isNull().alias("no_id"), "text")
     runs = docs.mapInArrow(over_batches(_runs), _RUN)
     again = runs.groupBy("anchor").agg(F.count("*").alias("c"), F.max("twice").alias("twice")).where("c > 1 or twice").select("anchor")
     held = saved(runs.drop("twice").join(again, "anchor"), "passages")
@@ -255,7 +260,7 @@ def marked(docs: DataFrame) -> DataFrame:
     crowds = kinds.groupBy("anchor").agg((F.count("*") > MOST_PASSAGES).alias("hot"))
     chosen = kinds.join(crowds, "anchor").select("of.*", F.struct(F.col("of.start").alias("start"), "anchor", "content", "n", (F.col("c") > 1).alias("many"), "hot").alias("one"))
     chosen = chosen.groupBy("doc_id", "t").agg(F.collect_list("one").alias("chosen"))  # at most a document's own passages
-    packed = docs.mapInArrow(over_batches(_pack), "doc_id long, t int, packed binary")
+    packed = docs.mapInArrow(over_batches(_pack), "doc_id long, t int, no_id boolean, packed binary")
     once = packed.join(chosen, ["doc_id", "t"])
     cut = saved(once.mapInArrow(over_batches(_cut), "anchor long, content long, n int, many boolean, hot boolean, bytes binary").dropDuplicates(["anchor", "content", "n"]), "bytes")
     calm = cut.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "content", "n")
@@ -285,7 +290,8 @@ def _digest(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out.append((len(text), sum(b - a for a, b in spans), len(spans), rest.hexdigest(), line))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], names=["doc_id", *names])
+    ids = pc.if_else(batch.column("no_id"), pa.scalar(None, pa.int64()), batch.column("doc_id"))
+    yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], names=["doc_id", *names])
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
@@ -293,7 +299,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
     Removed is each byte of the UTF-8 text that a string of LENGTH bytes covers which also starts anywhere else, in the same
     text (overlapping or not) or in another; strings are judged on the input. Null texts count as empty, texts below LENGTH
-    bytes lose nothing, and equal rows are copies of each other, so both lose all.
+    bytes lose nothing, and equal rows are copies of each other, so both lose all. Rows without an id are rows like others.
 
     - Equal strings have equal anchors, so the passages of one anchor are all that has to be compared; anchors that occur
       once, and once in their passage, go before any text moves, and equal passages are one with a mark.

@@ -61,6 +61,21 @@ def test_repeated_rows_and_ids(spark):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("most", [1000, 1])
+def test_passages_shared_with_rows_without_an_id(spark, monkeypatch, most):
+    monkeypatch.setattr(runindex, "MOST_PASSAGES", most)
+    rng = random.Random(6)
+    prose = lambda k: " ".join("".join(rng.choice("abcde") for _ in range(6)) for _ in range(k))
+    licence, other = prose(80), prose(80)
+    texts = [(None, licence), (None, f"{prose(30)} {licence} {prose(40)}"), (None, None), (None, prose(90)), (None, other), (None, other)]
+    texts += [(i, f"{prose(40)} {licence} {prose(10 * i)}") for i in range(1, 6)]
+    key = lambda r: (str(r[0]), *r[1:])
+    numbered = dict(enumerate(texts, 1000))
+    want = [(numbered[i][0], *rest) for i, *rest in brute([(i, t) for i, (_, t) in numbered.items()])]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_bytes(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+    assert sum(r[2] > 0 for r in got) == 9 and sorted(got, key=key) == sorted(want, key=key)
+
+
 def test_empty_table(spark):
     assert repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
