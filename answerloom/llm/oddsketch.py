@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from answerloom.llm.common import Words, constants, group_bounds, mix, over_batches, saved, shingles, sorted_groups, text_blocks
+from answerloom.llm.common import WORD, Words, constants, group_bounds, mix, over_batches, saved, shingles, sorted_groups, text_blocks
 from answerloom.llm.components import components
 
 #: MinHash samples of a text; all of them are folded into the sketch, the first BANDS * ROWS also into bands.
@@ -48,6 +48,10 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield first, last, *_distinct(values, rows, last - first)
 
 
+def _prints(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    return [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def _signatures(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     multiply, add = constants(SAMPLES, 101), constants(SAMPLES, 202)
     of_band, ids = constants(BANDS * ROWS, 303).reshape(BANDS, ROWS), batch.select(["doc_id", "t"]).columns
@@ -63,7 +67,7 @@ def _signatures(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         folded = (mix(least + constants(SAMPLES, 404)) >> top).astype(np.int64)
         sketch = _parity(np.repeat(np.arange(n), SAMPLES), folded.ravel(), n)
         parity = _parity(np.repeat(np.arange(n), sizes), (mix(values) >> top).astype(np.int64), n)
-        prints = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        prints = _prints(values, bounds)
         yield pa.RecordBatch.from_arrays(
             [
                 *(c.slice(first, n) for c in ids), pa.array(sizes.astype(np.int64)), pa.array(prints, pa.binary()),
@@ -75,10 +79,12 @@ def _signatures(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    ids = batch.column("id")
+    """The sets of texts that have their class's print."""
+    ids, prints = batch.column("id"), batch.column("print").to_pylist()
     for first, last, values, bounds in _sets(batch):
         held = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), held], names=["id", "held"])
+        own = pa.array([x == y for x, y in zip(_prints(values, bounds), prints[first:last], strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), held], names=["id", "held"]).filter(own)
 
 
 def estimate(xor_bits: np.ndarray) -> np.ndarray:
@@ -157,42 +163,55 @@ def near_duplicates(docs: DataFrame, percent: int = 85, cols: tuple[str, str] =
 
     A text's set holds the distinct runs of five lower-cased words (all words of a shorter text as one run);
     texts are linked when 100 * intersection >= percent * union. component_id is the smallest id reachable by
-    links and kept says whether it is the row's own.
+    links and kept says whether it is the row's own. Rows without an id have none to offer: component_id is null, and they
+    are kept, where a component has no other rows.
 
     - Texts without words (null, empty, white space) have size 0, are linked with nothing and kept.
     - Equal sets are one class from the start, so a crowd of copies is one row in all that follows.
     - Texts of one band bucket meet in tiles of bounded size. Each tile first proposes a forest of its most
       similar pairs; what the confirmed ones leave unconnected is then compared pair by pair, so no link is lost
       to a bucket's size, and no bucket's pairs are all written out.
-    - Rows that repeat an id are rows of their own with that id. Other columns are ignored; an empty table gives
+    - Rows that repeat an id are rows of their own with that id: an id links nothing. Other columns are ignored; an empty table gives
       an empty result.
     """
-    return _classed(docs.select(F.col(cols[0]).cast("long").alias("doc_id"), F.col(cols[1]).alias("text")), percent).drop("t")
+    return _classed(docs.select(F.col(cols[0]).cast("long").alias("doc_id"), F.col(cols[1]).alias("text")), percent).drop("t", "component")
 
 
 def survivors(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row of each group of near duplicates in ``docs`` (doc_id, text, ...), with all columns: of the rows that have the
-    group's smallest id, the one whose text has the smallest hash. Texts without words are groups by id."""
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_t", F.xxhash64("text"))
-    kept = _classed(rows.select(F.col("_id").alias("doc_id"), "text"), percent).where("kept").groupBy(F.col("component_id").alias("_id")).agg(F.min("t").alias("_t"))
-    return rows.join(kept, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]).select(*docs.columns)
+    group's smallest id, the one whose text has the smallest hash. Rows in no common group all stay, also under one id. Texts
+    without words are no group: all stay, repeated rows with an id once."""
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.withColumn("_t", F.xxhash64("text")).withColumn("_key", F.coalesce(id_, "_t"))
+    worded = F.coalesce(F.rlike("text", F.lit(WORD)), F.lit(False))
+    found = _classed(docs.select(id_.alias("doc_id"), "text"), percent).where("n_shingles > 0")
+    found = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("of"))
+    kept = found.select(F.coalesce("of.doc_id", "of.t").alias("_key"), F.col("of.t").alias("_t"))
+    one = rows.where(worded).join(kept, ["_key", "_t"], "left_semi").unionByName(rows.where(~worded & id_.isNotNull())).dropDuplicates(["_key", "_t"])
+    return one.unionByName(rows.where(~worded & id_.isNull())).select(*docs.columns)
 
 
 def _classed(docs: DataFrame, percent: int) -> DataFrame:
-    """``near_duplicates`` with ``t``, a hash of the text."""
+    """``near_duplicates`` with ``t``, a hash of the text, and ``component``, a number of the row's component whatever its ids.
+
+    The nodes are classes of equal sets, numbered as they are written.
+    """
     docs = docs.withColumn("t", F.xxhash64("text"))
     signed = saved(docs.mapInArrow(over_batches(_signatures), _SIGNATURE), "sketches")
+    key = F.coalesce("doc_id", "t").alias("key")
     classes = signed.where("n_shingles > 0").groupBy("print").agg(
-        F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch", "parity"))
+        F.min("doc_id").alias("first_id"), F.min(F.struct(key, "t")).alias("of"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch", "parity"))
     )
-    classes = saved(classes, "classes")
+    classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     members = classes.select("id", F.explode("bands").alias("key"))
     crowd = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
     crowd = crowd.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")  # bands that met in the same rows are one bucket
     held = members.join(crowd, "key").withColumn("chunks", F.ceil(F.col("n") / TILE).cast("long"))
     held = saved(held.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks"))), "buckets")
     involved = saved(held.select("id").distinct(), "involved")
-    sets = saved(docs.select(F.col("doc_id").alias("id"), "text").join(involved, "id", "left_semi").mapInArrow(over_batches(_full_sets), "id long, held array<long>").dropDuplicates(["id"]), "sets")
+    sources = classes.select("id", "print", "of.*").join(involved, "id", "left_semi")
+    sets = docs.select(key, "t", "text").join(sources, ["key", "t"]).select("id", "print", "text")
+    sets = saved(sets.mapInArrow(over_batches(_full_sets), "id long, held array<long>").dropDuplicates(["id"]), "sets")
     sketches = classes.select("id", "n_shingles", "sketch", "parity").join(involved, "id", "left_semi")
 
     def proposed(tiled: DataFrame, every: bool) -> DataFrame:
@@ -220,7 +239,9 @@ def _classed(docs: DataFrame, percent: int) -> DataFrame:
     if not late.isEmpty():
         found = components(links.union(late))
 
-    class_of = classes.select("print", "id").join(found, "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
+    placed = saved(classes.select("print", "id", "first_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    least = saved(placed.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
+    class_of = placed.join(least, "component", "left").select("print", "component", "component_id")
     rows = signed.select("doc_id", "t", "n_shingles", "print").join(class_of, "print", "left")
     rows = rows.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return rows.select("doc_id", "t", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return rows.select("doc_id", "t", "n_shingles", "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

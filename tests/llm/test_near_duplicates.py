@@ -1,7 +1,7 @@
 import random
 import re
 
-from answerloom.llm.oddsketch import near_duplicates
+from answerloom.llm.oddsketch import near_duplicates, survivors
 from answerloom.llm.components import components
 
 
@@ -54,6 +54,25 @@ def test_agrees_with_all_pairs(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()} == brute(rows)
 
 
+def test_ids_that_repeat_or_are_missing(spark):
+    rng = random.Random(5)
+    base = {k: [f"{k}{rng.randrange(10**6)}" for _ in range(100)] for k in "abcdefg"}
+    text = lambda k, at=None: " ".join(w if i != at else "changed" for i, w in enumerate(base[k]))
+    rows = [(7, text("a")), (7, text("b")), (7, text("c")), (8, text("b", 40)), (9, text("c", 0)), (5, text("a", 50)), (7, ""), (7, text("g")), (7, text("g"))]
+    rows += [(None, text("d")), (None, text("d", 60)), (None, text("e")), (None, text("e", 20)), (6, text("e", 70)), (None, text("f")), (None, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    found = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_duplicates(docs).collect())
+    want = [(7, 5, False), (7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False), (5, 5, True), (7, 7, True), (7, 7, True), (7, 7, True)]
+    want += [(None, None, True), (None, None, True), (None, 6, False), (None, 6, False), (6, 6, True), (None, None, True)] + [(None, None, True)] * 3
+    assert found == sorted((str(a), str(b), k) for a, b, k in want)
+    left = survivors(docs)
+    assert left.columns == docs.columns
+    stay = sorted((str(r.doc_id), str(r.text)) for r in left.collect())
+    d = [t for i, t in rows if i is None and t and t.startswith("d")]
+    sure = [(5, text("a", 50)), (7, text("b")), (7, text("c")), (7, ""), (7, text("g")), (6, text("e", 70)), (None, text("f")), (None, ""), (None, ""), (None, None)]
+    assert any(stay == sorted((str(i), str(t)) for i, t in [*sure, (None, x)]) for x in d)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
