@@ -12,10 +12,13 @@ from answerloom.llm.curriculum import mixed
 from answerloom.llm.decontaminate import contaminated
 from answerloom.llm.html import main_texts
 from answerloom.llm.langid import languages
+from answerloom.llm.maxscore import build_index, search
+from answerloom.llm.negatives import hard_negatives
 from answerloom.llm.oddsketch import near_duplicates
 from answerloom.llm.pii import report
 from answerloom.llm.runindex import repeated_bytes
 from answerloom.llm.secrets import scan
+from answerloom.llm.setjoin import joined
 from answerloom.llm.toxicity import scored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +65,45 @@ ORACLES["op9_curriculum"] = f"""WITH d AS (SELECT doc_id, source, coalesce(len({
   SELECT doc_id, size, source_size, target, (once + twice)::BIGINT AS taken, round(CASE WHEN once > 0 THEN CASE WHEN slope = 0 THEN first / target
     ELSE (sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * (first / target), 0.0)) - (1 - slope)) / (2 * slope) END END, 9) AS position FROM a"""
 
+ORACLES["op12_packed_products"] = """WITH d AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding AS e FROM embeddings),
+  v AS (SELECT vec_id, label, list_transform(e, lambda x: floor(256 * x::DOUBLE)) AS c FROM d
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.c, b.c)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+  p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+  n AS (SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON p.a = s.a AND NOT s.same AND 100 * s.score BETWEEN 30 * p.score AND 90 * p.score)
+  SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op13_block_max"] = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{_TERM}') AS ts FROM documents),
+  f AS (SELECT doc_id, len(ts)::BIGINT AS n, ts FROM d WHERE len(ts) > 0),
+  g AS (SELECT count(*)::BIGINT AS total_docs, sum(n)::BIGINT AS total_terms FROM f),
+  q AS (SELECT item_id, t, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(regexp_extract_all({_FOLDED}, '{_TERM}')) AS t FROM benchmark) GROUP BY ALL),
+  o AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(ts) AS t FROM f) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+  w AS (SELECT t, floor(1000 * ln((2 * total_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM o, g GROUP BY t, total_docs),
+  i AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * total_docs) // total_terms))) AS gain FROM o JOIN w USING (t), g),
+  s AS (SELECT item_id, doc_id, sum(times * gain)::BIGINT AS score FROM q JOIN i USING (t) GROUP BY ALL HAVING sum(times * gain) > 0),
+  r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s)
+  SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
+def _linked(percent: int, columns: str) -> str:
+    """Components of documents by shingle sets: every pair that shares a shingle is counted."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(x=_FOLDED)} AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM d WHERE len(ws) > 0)),
+  z AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  h AS (SELECT x, y FROM p JOIN z u ON u.doc_id = x JOIN z v ON v.doc_id = y WHERE 100 * i >= {percent} * (u.n + v.n - i)),
+  l AS (SELECT x, y FROM h UNION ALL SELECT y, x FROM h),
+  r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.y, r.other FROM r JOIN l ON l.x = r.doc_id),
+  c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, {columns} FROM c LEFT JOIN z USING (doc_id)"""
+
+
+ORACLES["op3_odd_sketches"] = _linked(85, "component_id, doc_id = component_id AS kept")
+ORACLES["op11_set_relations"] = _linked(80, "component_id")
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
@@ -116,3 +158,21 @@ def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joined(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_packed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the id is divisible by 7 the label moves on by one, modulo 10, as the mining is defined."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved))
+
+
+@query
+def op13_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
