@@ -61,9 +61,11 @@ def test_walk_skips_blocks_and_loses_no_pair():
     pos = rng.integers(0, 20, 400)
     order = np.lexsort((pos, n))
     n, pos, one = n[order], pos[order], np.zeros(400, dtype=int)
-    i, j, looks = skipping_pairs(one, n, n, pos, np.zeros(400, dtype=bool), 80)
-    want = {(x, y) for x in range(400) for y in range(x + 1, 400) if 80 * n[y] <= 100 * n[x] and min(n[x] - pos[x], n[y] - pos[y]) >= math.ceil(80 * (n[x] + n[y]) / 180)}
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and looks < 400 * 399 / 4
+    for part in (np.arange(400), np.where(rng.random(400) < 0.8, 400, np.arange(400))):
+        i, j, looks = skipping_pairs(one, n, n, pos, part, part == 400, 80)
+        may = lambda x, y: 80 * n[y] <= 100 * n[x] and min(n[x] - pos[x], n[y] - pos[y]) >= math.ceil(80 * (n[x] + n[y]) / 180)
+        want = {(x, y) for x in range(400) for y in range(x + 1, 400) if part[x] != part[y] and may(x, y)}
+        assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want and len(i) == len(want) and looks < (part != 400).sum() * 400 / 2
 
 
 # --- hard negatives ---------------------------------------------------------------------------------------------
