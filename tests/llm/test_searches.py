@@ -38,6 +38,7 @@ def test_join_agrees_with_all_pairs(spark, monkeypatch, least, levels):
     sent, confirmed = [], setjoin._Join.confirmed
     monkeypatch.setattr(setjoin._Join, "confirmed", lambda self, p, held: sent.append(p.count()) or confirmed(self, p, held))
     monkeypatch.setattr(setjoin, "LIST", least)
+    monkeypatch.setattr(setjoin, "LATER", least)
     monkeypatch.setattr(setjoin, "LEVELS", levels)
     monkeypatch.setattr(setjoin, "HOT_LEAST", 12)  # shingles of the crowds are dealt by set
     rows = crowds() if levels else corpus()
@@ -62,7 +63,7 @@ def test_walk_skips_blocks_and_loses_no_pair():
     order = np.lexsort((pos, n))
     n, pos, one = n[order], pos[order], np.zeros(400, dtype=int)
     for part in (np.arange(400), np.where(rng.random(400) < 0.8, 400, np.arange(400))):
-        i, j, looks = skipping_pairs(one, n, n, pos, part, part == 400, 80)
+        i, j, looks = skipping_pairs(one, n, n, pos, part, part == 400, np.zeros(400, dtype=int), np.zeros((400, 4), dtype=np.uint64), 80)
         may = lambda x, y: 80 * n[y] <= 100 * n[x] and min(n[x] - pos[x], n[y] - pos[y]) >= math.ceil(80 * (n[x] + n[y]) / 180)
         want = {(x, y) for x in range(400) for y in range(x + 1, 400) if part[x] != part[y] and may(x, y)}
         assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want and len(i) == len(want) and looks < (part != 400).sum() * 400 / 2
