@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from answerloom import schema as S
 from answerloom.functions import text as T
 from answerloom.functions.filters import live, search_name
 from answerloom.operators.bm25 import Bm25Index, changed, corpus_stats, doc_stats, postings, term_stats
+from answerloom.operators.impact import RECORDS, blocked
 from answerloom.operators.skew import bounded_join
 from answerloom.operators.vectors import l2_normalize
 from answerloom.session import shared_dir
@@ -62,15 +64,12 @@ def read_stored(spark: SparkSession, path: str, schema: T_.StructType | str) ->
 
 
 def write_bm25_index(chunks: DataFrame, path: str, named: DataFrame | None = None) -> Bm25Index:
-    """Write postings, lengths and term statistics of the collections of ``chunks`` and of ``named`` (kb_id), and read them back.
+    """Write the index of the collections of ``chunks`` and of ``named`` (kb_id), and read the whole index back.
 
-    A named collection without chunks, or whose chunks have no tokens, is cleared: every collection written gets a row
-    without a key, so that its partition is replaced even when nothing else is left in it; readers skip that row.
-    Postings are clustered by chunk with the terms in order: a task holds whole chunks, and row groups of other terms
-    are skipped.
+    A named collection without chunks is cleared. Postings are clustered by collection and chunk range, with the terms in order.
     """
     kbs = chunks.select("kb_id") if named is None else chunks.select("kb_id").union(named.select("kb_id"))
-    _store_index(postings(chunks), doc_stats(chunks), kbs.distinct(), path)
+    _commit_index(postings(chunks), doc_stats(chunks), kbs.distinct(), path)
     return read_bm25_index(chunks.sparkSession, path)
 
 
@@ -79,37 +78,77 @@ def update_bm25_index(path: str, upserts: DataFrame, deletes: DataFrame) -> Bm25
     named in either are read and written again, and one that loses its last chunk becomes empty."""
     spark = upserts.sparkSession
     old = read_bm25_index(spark, path)
-    named = upserts.select("kb_id").union(deletes.select("kb_id")).distinct()
-    stats = read_stored(spark, f"{path}/doc_stats", S.DOC_STATS).filter("chunk_key IS NOT NULL")
+    named = _checkpointed(upserts.select("kb_id").union(deletes.select("kb_id")).distinct())
+    stats = _live(spark, path, "doc_stats", S.DOC_STATS)
     part = lambda df: bounded_join(df, named, ["kb_id"], "left_semi")
     post, lengths = changed(part(old.postings), part(stats), upserts, deletes)
-    _store_index(_checkpointed(post), _checkpointed(lengths), _checkpointed(named), path)
+    _commit_index(post, lengths, named, path)
     return read_bm25_index(spark, path)
 
 
-def _store_index(post: DataFrame, stats: DataFrame, kbs: DataFrame, path: str) -> None:
-    spark = post.sparkSession
+def remove_from_index(path: str, doc_ids: DataFrame, chunks: DataFrame) -> Bm25Index:
+    """Take the chunks of doc_ids(doc_id) out of a stored index, in one commit."""
+    keys = bounded_join(chunks, doc_ids.select("doc_id").distinct(), ["doc_id"], "left_semi").select("kb_id", "chunk_key")
+    return update_bm25_index(path, chunks.limit(0), keys)
+
+
+def index_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """Number and generation of the last commit, None before the first."""
+    if not _exists(spark, f"{path}/head"):
+        return None
+    row = read_stored(spark, f"{path}/head", S.HEAD).agg(F.max(F.struct("version", "generation")).alias("h")).first()
+    return (row.h.version, row.h.generation) if row.h is not None else None
 
-    def marked(df: DataFrame, schema: str) -> DataFrame:
-        empty = S.conform(kbs, schema)
-        return S.conform(df, schema).unionByName(empty)
 
-    post = marked(post, S.POSTINGS)
-    post.repartition("kb_id", "chunk_key").sortWithinPartitions("kb_id", "term", "chunk_key").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(f"{path}/postings")
-    _replace_partitions(marked(stats, S.DOC_STATS), f"{path}/doc_stats", ["kb_id"], ["chunk_key"])
-    stored = read_stored(spark, f"{path}/postings", S.POSTINGS)
-    mine = bounded_join(stored, kbs, ["kb_id"], "left_semi").filter("term IS NOT NULL")
-    _replace_partitions(marked(term_stats(mine), S.TERMS), f"{path}/terms", ["kb_id"], ["term"])
-    lengths = bounded_join(read_stored(spark, f"{path}/doc_stats", S.DOC_STATS), kbs, ["kb_id"], "left_semi").filter("chunk_key IS NOT NULL")
-    _replace_partitions(marked(corpus_stats(lengths), S.CORPUS), f"{path}/corpus", ["kb_id"], [])
+def _commit_index(post: DataFrame, stats: DataFrame, kbs: DataFrame, path: str) -> None:
+    """Write collections ``kbs`` as a new generation of all tables, then publish it.
+
+    Nothing that a reader uses is overwritten: each table gets a folder for the generation, and ``collections`` says for every
+    collection which generation holds it. The commit is one row in one file of ``head``; a writer that breaks off before leaves the
+    last version as it was. Two writers at a time are not told apart: run one.
+    """
+    spark = post.sparkSession
+    last = index_version(spark, path)
+    generation = uuid.uuid4().hex
+
+    def write(df: DataFrame, table: str, schema: str) -> DataFrame:
+        _write_table(S.conform(df, schema), f"{path}/{table}/generation={generation}")
+        return read_stored(spark, f"{path}/{table}/generation={generation}", schema)
+
+    stored = write(post.repartitionByRange("kb_id", "chunk_key").sortWithinPartitions("kb_id", "term", "chunk_key"), "postings", S.POSTINGS)
+    lengths = write(stats.repartitionByRange("kb_id", "chunk_key").sortWithinPartitions("kb_id", "chunk_key"), "doc_stats", S.DOC_STATS)
+    write(term_stats(stored).repartitionByRange("kb_id", "term").sortWithinPartitions("kb_id", "term"), "terms", S.TERMS)
+    write(corpus_stats(lengths), "corpus", S.CORPUS)
+    write(blocked(stored), "blocks", RECORDS)
+    now = kbs.select("kb_id", F.lit(generation).alias("generation"))
+    if last is not None:
+        old = read_stored(spark, f"{path}/collections/commit={last[1]}", S.COLLECTIONS)
+        now = now.unionByName(old.join(kbs, "kb_id", "left_anti"))
+    now.write.parquet(f"{path}/collections/commit={generation}")
+    head = spark.createDataFrame([((last[0] if last else 0) + 1, generation)], S.HEAD)
+    head.coalesce(1).write.mode("append").parquet(f"{path}/head")
+
+
+def _write_table(df: DataFrame, path: str) -> None:
+    df.write.partitionBy("kb_id").parquet(path)
+
+
+def _live(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """Rows of a table in the last version."""
+    _, commit = index_version(spark, path)
+    collections = read_stored(spark, f"{path}/collections/commit={commit}", S.COLLECTIONS)
+    used = [r.generation for r in collections.select("generation").distinct().collect()]  # one per commit still in use
+    rows = read_stored(spark, f"{path}/{table}", f"{schema}, generation string").filter(F.col("generation").isin(used))
+    if len(used) > 1:
+        rows = bounded_join(rows, collections, ["kb_id", "generation"], "left_semi")
+    return rows.drop("generation")
 
 
 def read_bm25_index(spark: SparkSession, path: str) -> Bm25Index:
-    """The stored index; statistics are stored too and not derived again."""
-    corpus = read_stored(spark, f"{path}/corpus", S.CORPUS).filter("n IS NOT NULL")
-    post = read_stored(spark, f"{path}/postings", S.POSTINGS).filter("term IS NOT NULL")
-    return Bm25Index(post, corpus, read_stored(spark, f"{path}/terms", S.TERMS).filter("term IS NOT NULL"), corpus.select("kb_id"))
+    """The last version of the stored index; statistics are stored too and not derived again."""
+    live = lambda table, schema: _live(spark, path, table, schema)
+    corpus = live("corpus", S.CORPUS)
+    return Bm25Index(live("postings", S.POSTINGS), corpus, live("terms", S.TERMS), corpus.select("kb_id"), live("blocks", RECORDS))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from answerloom.functions.text import tokenize
+from answerloom.operators.impact import blocked_topk
 from answerloom.operators.skew import bounded_join, explode_computed, measure, top_per_group, within_bounds
 
 K1 = 1.5
@@ -21,6 +22,7 @@ class Bm25Index:
     corpus: DataFrame
     terms: DataFrame
     kbs: DataFrame | None = None  # distinct kb_id, when that is cheaper to read than the statistics
+    blocks: DataFrame | None = None  # the postings again, as records of whole chunks; a stored index has them
 
 
 def tokenized(chunks: DataFrame, text: str = "content") -> DataFrame:
@@ -84,6 +86,17 @@ def query_weights(wanted: DataFrame, index: Bm25Index, k1: float = K1, small: bo
     )
 
 
+def _weighed(queries: DataFrame, index: Bm25Index, k1: float, text: str) -> tuple[DataFrame, bool | None, int]:
+    """(weights, whether all of them are known to be small, query terms)."""
+    wanted = query_tokens(queries, text)
+    small, rows = None, None
+    if index.kbs is not None:
+        rows, size = measure(wanted)
+        kbs, kb_size = measure(index.kbs)
+        small = within_bounds(rows * kbs, size * kbs + rows * kb_size) or None
+    return query_weights(wanted, index, k1, small), small, rows if small else wanted.count()
+
+
 def bm25_scores(
     queries: DataFrame, index: Bm25Index, k1: float = K1, b: float = B, text: str = "question"
 ) -> DataFrame:
@@ -92,13 +105,7 @@ def bm25_scores(
     The weight rows are at most query terms x collections; when that product is below the broadcast bounds nothing
     else has to be measured.
     """
-    wanted = query_tokens(queries, text)
-    small = None
-    if index.kbs is not None:
-        rows, size = measure(wanted)
-        kbs, kb_size = measure(index.kbs)
-        small = within_bounds(rows * kbs, size * kbs + rows * kb_size) or None
-    weights = query_weights(wanted, index, k1, small)
+    weights, small, _ = _weighed(queries, index, k1, text)
     matches = bounded_join(index.postings, weights, ["kb_id", "term"], spread=["chunk_key"], small_is_small=small)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     return (
@@ -125,6 +132,9 @@ def bm25_topk(
     """
     if k <= 0:
         raise ValueError("k must be positive")
+    if index.blocks is not None:
+        weights, small, terms = _weighed(queries, index, k1, text)
+        return blocked_topk(weights, terms, index.blocks, k, k1, b, per_kb, small)
     scores = bm25_scores(queries, index, k1, b, text)
     group = ["query_id", "kb_id"] if per_kb else ["query_id"]
     return top_per_group(scores, group, [F.desc("bm25_score"), F.asc("chunk_key")], k, "bm25_rank")
