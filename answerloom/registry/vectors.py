@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from answerloom.functions.filters import last_hours, search_name, where_to_column
-from answerloom.operators import vectors as V
+from answerloom.operators import ivf, vectors as V
 from answerloom.registry import query
 from answerloom.registry.fixtures import DIM, NOW, spread_out, table
+from answerloom.session import shared_dir
 
 HASH_SQL = "('0x' || substr(md5(g), 1, 15))::BIGINT"
 
@@ -133,6 +135,38 @@ def vector_topk_lsh(spark, sf):
     return hits.withColumn("vector_score", F.round("vector_score", 6))
 
 
+@query(
+    "ivf_search",
+    """WITH e AS (SELECT vec_id, label % 2 AS kb_id, embedding::DOUBLE[64] AS v FROM embeddings),
+         c AS (SELECT row_number() OVER (ORDER BY vec_id) AS cell, v FROM (SELECT vec_id, v FROM e ORDER BY vec_id LIMIT 64)),
+         p AS (SELECT e.vec_id, e.kb_id, e.v, c.cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(array_inner_product(e.v, c.v), 9) DESC, cell) AS r FROM e, c),
+         s AS (SELECT q.vec_id AS query_id, x.kb_id, x.vec_id AS chunk_key, round(array_inner_product(q.v, x.v), 9) AS s
+               FROM p q JOIN p x ON q.cell = x.cell AND x.r = 1 AND q.r <= 6 AND q.vec_id % 50 = 0 AND q.kb_id = x.kb_id)
+       SELECT query_id, kb_id, chunk_key, round(s, 6) AS vector_score, r AS vector_rank FROM (
+         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_key)::INT AS r FROM s) WHERE r <= 10""",
+)
+def ivf_search(spark, sf):
+    """Cells around given centres, the first vectors, so that SQL can tell which cells a query probes."""
+    centres = np.array([r.embedding for r in table(spark, sf, "embeddings").orderBy("vec_id").limit(64).collect()])
+    path = shared_dir(spark, "ivf")
+    ivf.write(vec_table(spark, sf), path, centres)
+    hits = ivf.search(vec_queries(spark, sf, bound=True).filter("query_id % 50 = 0"), ivf.read(spark, path), 10, probes=6)
+    return hits.withColumn("vector_score", F.round("vector_score", 6))
+
+
+@query("ivf_recall", "SELECT count(*) AS queries, true AS at_least_90 FROM embeddings WHERE vec_id % 50 = 0")
+def ivf_recall(spark, sf):
+    """Share of the exact first 10 that fitted cells find, with as many probes as other vectors need."""
+    path, asked = shared_dir(spark, "ivf"), vec_queries(spark, sf).filter("query_id % 50 = 0")
+    ivf.write(vec_table(spark, sf), path)
+    index = ivf.read(spark, path)
+    probes = ivf.tune(vec_table(spark, sf), index, 10, target=0.95)
+    found = ivf.search(asked, index, 10, probes).select("query_id", "chunk_key", F.lit(1).alias("hit"))
+    exact = V.vector_topk(asked, vec_table(spark, sf), 10).select("query_id", "chunk_key")
+    share = F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")
+    return exact.join(found, ["query_id", "chunk_key"], "left").agg(F.countDistinct("query_id").alias("queries"), (share >= 0.9).alias("at_least_90"))
+
+
 @query("vector_counts", "SELECT label % 2 AS kb_id, count(*) AS vectors FROM embeddings GROUP BY 1")
 def vector_counts(spark, sf):
     return V.vector_counts(vec_table(spark, sf))
