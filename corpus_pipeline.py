@@ -23,8 +23,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the one with the smallest id."""
-    return survivors(docs)
+    """One row of each group of near duplicates (similarity 0.8 or more): the one with the smallest id."""
+    return survivors(docs, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +39,13 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that the mix takes, in training order: their columns, words taken, and the times of their rounds."""
-    rows = curriculum.schedule(docs, keep=("text", "lang", "n_chars")).where("taken > 0")
-    return curriculum.in_order(rows.select("doc_id", "text", "lang", "source", "n_chars", "size", "taken", "position", "epochs"))
+    """The rows that the mix takes, by the position of their first word: their columns, words taken, and the times of their rounds. An
+    input column with the name of an added one gives way to it."""
+    added = ["size", "taken", "position", "epochs"]
+    own = [c for c in docs.columns if c not in added]
+    held = docs.select("doc_id", "source", "text", F.struct(*own).alias("_held_row"))
+    rows = curriculum.schedule(held, keep=("_held_row",)).where("taken > 0").select(*(F.col("_held_row")[c].alias(c) for c in own), *added)
+    return curriculum.in_order(rows)
 
 
 STAGES: list[tuple[str, Stage]] = [
