@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from answerloom.llm import decontaminate
 from answerloom.llm.decontaminate import clean, contaminated
@@ -134,7 +135,7 @@ def test_pipeline_stage_by_stage(spark):
             assert gone and sum(labels.get(i, 1) for i in gone) >= 0.8 * len(gone)
         if name == "near_duplicates":
             sets = {i: grams(words(r.text)) for i, r in old.items()}
-            links = [(a, b) for a in old for b in old if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and sets[b]]
+            links = [(a, b) for a in old for b in old if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and sets[b]]
             up = {i: i for i in old}
             for _ in old:
                 for a, b in links:
@@ -160,3 +161,10 @@ def test_stages_on_an_empty_table_and_repeated_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
         n = stage(spark, twice, SF).count()
         assert n <= 6, name
+
+
+def test_mix_keeps_further_columns(spark):
+    docs = corpus_pipeline.table(spark, SF, "documents").withColumns({"extra": F.length("text"), "size": F.lit("x"), "place": F.lit(1)})
+    got = corpus_pipeline.mixed(spark, docs, SF)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra", "place", "size", "taken", "position", "epochs"]
+    assert got.where("extra <> length(text) OR size = 'x'").count() == 0 < got.count()
