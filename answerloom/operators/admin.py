@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from answerloom import schema as S
 from answerloom.functions import text as T
 from answerloom.functions.filters import live, search_name
-from answerloom.operators.bm25 import Bm25Index, changed, corpus_stats, doc_stats, postings, term_stats
+from answerloom.operators.bm25 import Bm25Index, changed, corpus_stats, doc_stats, merged_corpus, merged_terms, postings, term_stats
 from answerloom.operators.impact import RECORDS, blocked
 from answerloom.operators.skew import bounded_join
 from answerloom.operators.vectors import l2_normalize
@@ -73,16 +73,41 @@ def write_bm25_index(chunks: DataFrame, path: str, named: DataFrame | None = Non
     return read_bm25_index(chunks.sparkSession, path)
 
 
-def update_bm25_index(path: str, upserts: DataFrame, deletes: DataFrame) -> Bm25Index:
+def append_segment(chunks: DataFrame, path: str, batch: int | None = None) -> Bm25Index:
+    """Add chunks whose keys the index does not hold yet as one more segment of their collections.
+
+    Nothing stored is read or written again: postings, lengths and blocks of the segment stand beside the older ones, its term and
+    corpus counts are added to theirs by the reader. ``batch`` is kept with the commit (``last_batch``). A key that is
+    there already would count twice: use ``update_bm25_index`` for it.
+    """
+    _commit_index(postings(chunks), doc_stats(chunks), chunks.select("kb_id").distinct(), path, append=True, batch=batch)
+    return read_bm25_index(chunks.sparkSession, path)
+
+
+def compact_index(spark: SparkSession, path: str, segments: int = 1) -> Bm25Index:
+    """Fold the segments of every collection that has more than ``segments`` into one, in one commit; without any, nothing is written."""
+    named = _checkpointed(_segments(spark, path).groupBy("kb_id").count().where(F.col("count") > segments).select("kb_id"))
+    if not named.isEmpty():
+        part = lambda table, schema: bounded_join(_live(spark, path, table, schema), named, ["kb_id"], "left_semi")
+        _commit_index(part("postings", S.POSTINGS), part("doc_stats", S.DOC_STATS), named, path)
+    return read_bm25_index(spark, path)
+
+
+def segment_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(kb_id, segments) of the last version."""
+    return _segments(spark, path).groupBy("kb_id").agg(F.count("*").alias("segments"))
+
+
+def update_bm25_index(path: str, upserts: DataFrame, deletes: DataFrame, batch: int | None = None) -> Bm25Index:
     """Replace the upserted chunks and drop the deleted ones, (kb_id, chunk_key), in a stored index; only the collections
-    named in either are read and written again, and one that loses its last chunk becomes empty."""
+    named in either are read and written again, as one segment each, and one that loses its last chunk becomes empty."""
     spark = upserts.sparkSession
     old = read_bm25_index(spark, path)
     named = _checkpointed(upserts.select("kb_id").union(deletes.select("kb_id")).distinct())
     stats = _live(spark, path, "doc_stats", S.DOC_STATS)
     part = lambda df: bounded_join(df, named, ["kb_id"], "left_semi")
     post, lengths = changed(part(old.postings), part(stats), upserts, deletes)
-    _commit_index(post, lengths, named, path)
+    _commit_index(post, lengths, named, path, batch=batch)
     return read_bm25_index(spark, path)
 
 
@@ -100,11 +125,18 @@ def index_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
     return (row.h.version, row.h.generation) if row.h is not None else None
 
 
-def _commit_index(post: DataFrame, stats: DataFrame, kbs: DataFrame, path: str) -> None:
+def last_batch(spark: SparkSession, path: str) -> int | None:
+    """Number of the last batch of a stream that was committed, None where there is none."""
+    if not _exists(spark, f"{path}/head"):
+        return None
+    return read_stored(spark, f"{path}/head", S.HEAD).agg(F.max("batch")).first()[0]
+
+
+def _commit_index(post: DataFrame, stats: DataFrame, kbs: DataFrame, path: str, append: bool = False, batch: int | None = None) -> None:
     """Write collections ``kbs`` as a new generation of all tables, then publish it.
 
     Nothing that a reader uses is overwritten: each table gets a folder for the generation, and ``collections`` says for every
-    collection which generation holds it. The commit is one row in one file of ``head``; a writer that breaks off before leaves the
+    collection which generations hold it: this one alone, or with ``append`` this one and those before. The commit is one row in one file of ``head``; a writer that breaks off before leaves the
     last version as it was. Two writers at a time are not told apart: run one.
     """
     spark = post.sparkSession
@@ -123,9 +155,9 @@ def _commit_index(post: DataFrame, stats: DataFrame, kbs: DataFrame, path: str)
     now = kbs.select("kb_id", F.lit(generation).alias("generation"))
     if last is not None:
         old = read_stored(spark, f"{path}/collections/commit={last[1]}", S.COLLECTIONS)
-        now = now.unionByName(old.join(kbs, "kb_id", "left_anti"))
+        now = now.unionByName(old if append else old.join(kbs, "kb_id", "left_anti"))
     now.write.parquet(f"{path}/collections/commit={generation}")
-    head = spark.createDataFrame([((last[0] if last else 0) + 1, generation)], S.HEAD)
+    head = spark.createDataFrame([((last[0] if last else 0) + 1, generation, batch)], S.HEAD)
     head.coalesce(1).write.mode("append").parquet(f"{path}/head")
 
 
@@ -133,10 +165,15 @@ def _write_table(df: DataFrame, path: str) -> None:
     df.write.partitionBy("kb_id").parquet(path)
 
 
-def _live(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
-    """Rows of a table in the last version."""
+def _segments(spark: SparkSession, path: str) -> DataFrame:
+    """(kb_id, generation) of the last version."""
     _, commit = index_version(spark, path)
-    collections = read_stored(spark, f"{path}/collections/commit={commit}", S.COLLECTIONS)
+    return read_stored(spark, f"{path}/collections/commit={commit}", S.COLLECTIONS)
+
+
+def _live(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """Rows of a table in the last version, of all segments."""
+    collections = _segments(spark, path)
     used = [r.generation for r in collections.select("generation").distinct().collect()]  # one per commit still in use
     rows = read_stored(spark, f"{path}/{table}", f"{schema}, generation string").filter(F.col("generation").isin(used))
     if len(used) > 1:
@@ -145,10 +182,13 @@ def _live(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
 
 
 def read_bm25_index(spark: SparkSession, path: str) -> Bm25Index:
-    """The last version of the stored index; statistics are stored too and not derived again."""
+    """The last version of the stored index; statistics are stored too and not derived again, but for sums over the segments of
+    a collection where one has several."""
     live = lambda table, schema: _live(spark, path, table, schema)
-    corpus = live("corpus", S.CORPUS)
-    return Bm25Index(live("postings", S.POSTINGS), corpus, live("terms", S.TERMS), corpus.select("kb_id"), live("blocks", RECORDS))
+    corpus, terms, parts = live("corpus", S.CORPUS), live("terms", S.TERMS), None
+    if not segment_counts(spark, path).where("segments > 1").isEmpty():
+        corpus, terms, parts = merged_corpus(corpus), merged_terms(terms), terms
+    return Bm25Index(live("postings", S.POSTINGS), corpus, terms, corpus.select("kb_id"), live("blocks", RECORDS), parts)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -23,6 +23,7 @@ class Bm25Index:
     terms: DataFrame
     kbs: DataFrame | None = None  # distinct kb_id, when that is cheaper to read than the statistics
     blocks: DataFrame | None = None  # the postings again, as records of whole chunks; a stored index has them
+    term_parts: DataFrame | None = None  # terms as the segments of a collection hold them, df to be added up
 
 
 def tokenized(chunks: DataFrame, text: str = "content") -> DataFrame:
@@ -47,6 +48,17 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
     )
 
 
+def merged_corpus(parts: DataFrame) -> DataFrame:
+    """``corpus_stats`` of whole collections from those of their segments."""
+    total = parts.groupBy("kb_id").agg(F.sum("n").alias("n"), F.sum("total_dl").alias("total_dl"))
+    return total.withColumn("avgdl", F.col("total_dl") / F.col("n"))
+
+
+def merged_terms(parts: DataFrame) -> DataFrame:
+    """``term_stats`` of whole collections from those of their segments, which share no chunk."""
+    return parts.groupBy("kb_id", "term").agg(F.sum("df").alias("df"))
+
+
 def term_stats(post: DataFrame) -> DataFrame:
     """Chunks per term. Reading ``tf`` keeps this branch equal to the postings one, so their shuffle is shared."""
     return post.groupBy("kb_id", "term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
@@ -75,7 +87,10 @@ def query_weights(wanted: DataFrame, index: Bm25Index, k1: float = K1, small: bo
 
     Only statistics of terms that occur in a query are read.
     """
-    weights = bounded_join(index.terms, wanted, ["term"], spread=["kb_id"], small_is_small=small)
+    parts = index.terms if index.term_parts is None else index.term_parts
+    weights = bounded_join(parts, wanted, ["term"], spread=["kb_id"], small_is_small=small)
+    if index.term_parts is not None:  # added up after the join, so that only the terms asked for are shuffled
+        weights = weights.groupBy(*wanted.columns, "kb_id").agg(F.sum("df").alias("df"))
     if "kb_ids" in wanted.columns:
         everywhere = F.coalesce(F.size("kb_ids") <= 0, F.lit(True))  # a query that names no collection searches all
         weights = weights.filter(everywhere | F.array_contains("kb_ids", F.col("kb_id")))

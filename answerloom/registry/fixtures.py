@@ -78,13 +78,13 @@ def coverage_sql(q_terms: str, t_tokens: str) -> str:
     )
 
 
-#: Postings, statistics and BM25 scores over whole documents, as CTEs.
-BM25_CTE = f"""
-ch AS (SELECT source AS kb_id, doc_id || ':0' AS chunk_key, {tokens_sql('text')} AS toks FROM documents),
-dl AS (SELECT kb_id, chunk_key, greatest(len(toks), 1) AS dl FROM ch),
+def bm25_cte(source: str) -> str:
+    """Postings, statistics and BM25 scores over the relation ``source``(kb_id, chunk_key, toks), as CTEs."""
+    return f"""
+dl AS (SELECT kb_id, chunk_key, greatest(len(toks), 1) AS dl FROM {source}),
 cs AS (SELECT kb_id, count(*) AS n, sum(dl) AS total_dl, avg(dl) AS avgdl FROM dl GROUP BY kb_id),
 ps AS (SELECT kb_id, chunk_key, term, count(*) AS tf
-       FROM (SELECT kb_id, chunk_key, unnest(toks) AS term FROM ch) GROUP BY ALL),
+       FROM (SELECT kb_id, chunk_key, unnest(toks) AS term FROM {source}) GROUP BY ALL),
 ts AS (SELECT kb_id, term, count(*) AS df FROM ps GROUP BY ALL),
 qt AS (SELECT query_id, term, count(*) AS mult
        FROM (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
@@ -96,6 +96,11 @@ bm AS (SELECT query_id, kb_id, chunk_key, round(sum(
 """
 
 
+#: The same over whole documents.
+BM25_CTE = f"""
+ch AS (SELECT source AS kb_id, doc_id || ':0' AS chunk_key, {tokens_sql('text')} AS toks FROM documents),{bm25_cte('ch')}"""
+
+
 # --- usage views ------------------------------------------------------------------------------------------------
 MODELS = ["deepseek-chat", "gpt-4o-mini-2024", "GPT-4o", "local-model"]
 PRICES = [

@@ -12,7 +12,7 @@ DOC_STATS = "kb_id string, chunk_key string, dl int"
 TERMS = "kb_id string, term string, df bigint"
 CORPUS = "kb_id string, n bigint, total_dl bigint, avgdl double"
 COLLECTIONS = "kb_id string, generation string"
-HEAD = "version bigint, generation string"
+HEAD = "version bigint, generation string, batch bigint"
 CASES = "dataset string, question string, ground_truth string, expected_doc string, expected_sections array<string>, tags array<string>"
 TRACES = "trace_id bigint, created_at timestamp_ntz, mode string, status string, latency_ms int, prompt_tokens int, completion_tokens int, llm_calls int, refusal boolean, source_count int, retrieval_rounds int, model string, cost_usd decimal(12,6)"
 SPANS = "trace_id bigint, created_at timestamp_ntz, seq int, name string, span_type string, duration_ms int, status string"
