@@ -14,7 +14,7 @@ from answerloom.functions import text as T
 from answerloom.functions.filters import live, search_name
 from answerloom.operators.bm25 import Bm25Index, changed, corpus_stats, doc_stats, merged_corpus, merged_terms, postings, term_stats
 from answerloom.operators.impact import RECORDS, blocked
-from answerloom.operators.skew import bounded_join
+from answerloom.operators.skew import bounded_join, within_bounds
 from answerloom.operators.vectors import l2_normalize
 from answerloom.session import shared_dir
 
@@ -86,9 +86,11 @@ def append_segment(chunks: DataFrame, path: str, batch: int | None = None) -> Bm
 
 def compact_index(spark: SparkSession, path: str, segments: int = 1) -> Bm25Index:
     """Fold the segments of every collection that has more than ``segments`` into one, in one commit; without any, nothing is written."""
-    named = _checkpointed(_segments(spark, path).groupBy("kb_id").count().where(F.col("count") > segments).select("kb_id"))
-    if not named.isEmpty():
-        part = lambda table, schema: bounded_join(_live(spark, path, table, schema), named, ["kb_id"], "left_semi")
+    version = _last_version(spark, path)
+    named = segment_counts(spark, path).where(F.col("segments") > segments).select("kb_id")
+    if version.segmented and not named.isEmpty():
+        named = _checkpointed(named)
+        part = lambda table, schema: bounded_join(version.live(table, schema), named, ["kb_id"], "left_semi")
         _commit_index(part("postings", S.POSTINGS), part("doc_stats", S.DOC_STATS), named, path)
     return read_bm25_index(spark, path)
 
@@ -102,11 +104,10 @@ def update_bm25_index(path: str, upserts: DataFrame, deletes: DataFrame, batch:
     """Replace the upserted chunks and drop the deleted ones, (kb_id, chunk_key), in a stored index; only the collections
     named in either are read and written again, as one segment each, and one that loses its last chunk becomes empty."""
     spark = upserts.sparkSession
-    old = read_bm25_index(spark, path)
+    version = _last_version(spark, path)
     named = _checkpointed(upserts.select("kb_id").union(deletes.select("kb_id")).distinct())
-    stats = _live(spark, path, "doc_stats", S.DOC_STATS)
     part = lambda df: bounded_join(df, named, ["kb_id"], "left_semi")
-    post, lengths = changed(part(old.postings), part(stats), upserts, deletes)
+    post, lengths = changed(part(version.live("postings", S.POSTINGS)), part(version.live("doc_stats", S.DOC_STATS)), upserts, deletes)
     _commit_index(post, lengths, named, path, batch=batch)
     return read_bm25_index(spark, path)
 
@@ -171,22 +172,42 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
     return read_stored(spark, f"{path}/collections/commit={commit}", S.COLLECTIONS)
 
 
-def _live(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
-    """Rows of a table in the last version, of all segments."""
+@dataclass(frozen=True)
+class _Version:
+    """The last version of a stored index: which generations hold a collection, looked up once for all its tables."""
+
+    path: str
+    collections: DataFrame
+    used: list[str]  # one per commit still in use
+    small: bool
+    segmented: bool
+
+    def live(self, table: str, schema: str) -> DataFrame:
+        """Rows of a table, of all segments."""
+        spark = self.collections.sparkSession
+        rows = read_stored(spark, f"{self.path}/{table}", f"{schema}, generation string").filter(F.col("generation").isin(self.used))
+        if len(self.used) > 1:
+            rows = bounded_join(rows, self.collections, ["kb_id", "generation"], "left_semi", small_is_small=self.small or None)
+        return rows.drop("generation")
+
+
+def _last_version(spark: SparkSession, path: str) -> _Version:
     collections = _segments(spark, path)
-    used = [r.generation for r in collections.select("generation").distinct().collect()]  # one per commit still in use
-    rows = read_stored(spark, f"{path}/{table}", f"{schema}, generation string").filter(F.col("generation").isin(used))
-    if len(used) > 1:
-        rows = bounded_join(rows, collections, ["kb_id", "generation"], "left_semi")
-    return rows.drop("generation")
+    total = collections.agg(
+        F.collect_set("generation").alias("used"), F.count("*").alias("n"), F.count_distinct("kb_id").alias("kbs"),
+        F.count_if(F.col("kb_id").isNull()).alias("nameless"), F.sum(F.coalesce(F.octet_length("kb_id"), F.lit(0)) + 64).alias("size"),
+    ).first()
+    segmented = total.n - total.nameless > total.kbs or total.nameless > 1
+    return _Version(path, collections, sorted(total.used), within_bounds(total.n, total["size"] or 0), segmented)
 
 
 def read_bm25_index(spark: SparkSession, path: str) -> Bm25Index:
     """The last version of the stored index; statistics are stored too and not derived again, but for sums over the segments of
     a collection where one has several."""
-    live = lambda table, schema: _live(spark, path, table, schema)
+    version = _last_version(spark, path)
+    live = version.live
     corpus, terms, parts = live("corpus", S.CORPUS), live("terms", S.TERMS), None
-    if not segment_counts(spark, path).where("segments > 1").isEmpty():
+    if version.segmented:
         corpus, terms, parts = merged_corpus(corpus), merged_terms(terms), terms
     return Bm25Index(live("postings", S.POSTINGS), corpus, terms, corpus.select("kb_id"), live("blocks", RECORDS), parts)
 
