@@ -14,8 +14,10 @@ from answerloom.llm.common import constants, fold, mix, over_batches, text_block
 #: Labelled texts of a language that are learned from: the first by a hash of the id. Up to 1000 Spark cuts each task to them
 #: before the shuffle.
 TEXTS_PER_LANGUAGE = 1000
-#: Languages that a mask has room for.
-LANGUAGES = 64
+#: Languages in one word of a mask; a mask has as many words as the languages need.
+WORD = 64
+#: Ranges of hashes that a language is dealt to before its first texts are found.
+DEALT = 32
 #: Bytes of an n-gram (of the lower-cased text, with a space for each run of characters that are no letters).
 SIZES = (4, 6)
 #: An n-gram belongs to a language when it makes up at least this share of the language's n-grams,
@@ -27,8 +29,8 @@ ROW_BITS, HASHES = 19, 3
 
 @dataclass(frozen=True)
 class Filters:
-    """``rows[i]`` has bit l set when an n-gram of language l hashes to row i; ``filled[l]`` is the chance of
-    any n-gram to be accepted."""
+    """``rows[l // WORD, i]`` has bit l % WORD set when an n-gram of language l hashes to row i; ``filled[l]`` is the chance
+    of any n-gram to be accepted."""
 
     languages: list[str]
     rows: np.ndarray
@@ -93,36 +95,51 @@ def _counts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE) -> Filters:
     """Filters learned from the text and the non-null lang of ``docs`` outside fold 2.
 
-    Of each language the ``texts_per_language`` texts first by a hash of the id are used; n-grams are counted on
+    Of each language, however many there are, the ``texts_per_language`` different texts first by a hash of the id are used; rows that
+    repeat an id and a text teach once, one id with several texts or languages teaches each of them. N-grams are counted on
     the cluster and only those that are frequent in a language come to the driver: at most 1 / SHARE a language. Broadcasts hold
-    at most LANGUAGES * ``texts_per_language`` ids.
-    Null texts and languages teach nothing.
+    at most ``texts_per_language`` keys a language, and the filter takes 4 MB for every WORD languages.
+    Null ids, texts and languages teach nothing.
     """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2))
-    languages = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang").collect()]
-    languages.sort()
+    first = _first(rows, texts_per_language)
+    languages = sorted(r.lang for r in first.select("lang").distinct().collect())
+    words = max(1, -(-len(languages) // WORD))
     if not languages:
-        return Filters([], np.zeros(1 << ROW_BITS, dtype=np.uint64), np.zeros(0))
-    code = F.array_position(F.lit(languages), F.col("lang")) - 1
-    by_hash = W.partitionBy("code").orderBy("h", "doc_id")
-    ids = rows.select("doc_id", code.alias("code"), F.xxhash64("doc_id").alias("h")).where("code >= 0")
-    ids = ids.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= texts_per_language).select("doc_id", "code")
-    sample = rows.drop("lang").join(F.broadcast(ids), "doc_id").select("text", "code").repartition(16, "text")
+        return Filters([], np.zeros((words, 1 << ROW_BITS), dtype=np.uint64), np.zeros(0))
+    key = ["doc_id", "lang", "print"]
+    sample = rows.withColumn("print", F.xxhash64("text")).join(F.broadcast(first), key).dropDuplicates(key)
+    sample = sample.select("text", (F.array_position(F.lit(languages), F.col("lang")) - 1).alias("code")).repartition(16, "text")
     counts = sample.mapInArrow(over_batches(_counts), "code long, gram long, n long").groupBy("code", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("code").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), "code").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= SHARE)
     mean = W.partitionBy("gram")
     shares = shares.withColumn("mean", F.sum("share").over(mean) / len(languages)).where(F.col("share") >= OF_MEAN * F.col("mean"))
     kept = shares.select("code", "gram").toPandas()
-    table = np.zeros(1 << ROW_BITS, dtype=np.uint64)
-    bits = np.left_shift(np.uint64(1), kept["code"].to_numpy().astype(np.uint64))
+    table = np.zeros((words, 1 << ROW_BITS), dtype=np.uint64)
+    code = kept["code"].to_numpy().astype(np.int64)
+    bits = np.left_shift(np.uint64(1), (code % WORD).astype(np.uint64))
     for place in _places(kept["gram"].to_numpy().astype(np.int64).view(np.uint64)):
-        np.bitwise_or.at(table, place, bits)
-    codes = np.arange(len(languages), dtype=np.uint64)
-    filled = np.array([float(((table >> c) & np.uint64(1)).mean()) for c in codes])
+        np.bitwise_or.at(table, (code // WORD, place), bits)
+    filled = np.array([float(_has(table, c).mean()) for c in range(len(languages))])
     return Filters(languages, table, filled**HASHES)
 
 
+def _first(rows: DataFrame, n: int) -> DataFrame:
+    """(doc_id, lang, print) of the first ``n`` different texts of every language by a hash of the id: first of each range of
+    hashes, so that no task gets a large language whole."""
+    keys = rows.select("doc_id", "lang", F.xxhash64("text").alias("print"), F.xxhash64("doc_id").alias("h")).distinct()
+    order = ["h", "doc_id", "print"]
+    for group in ([F.col("lang"), F.pmod("h", F.lit(DEALT))], [F.col("lang")]):
+        keys = keys.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("place") <= n).drop("place")
+    return keys.drop("h")
+
+
+def _has(masks: np.ndarray, code: int) -> np.ndarray:
+    """Whether language ``code`` is in each of the masks (words, n)."""
+    return (masks[code // WORD] >> np.uint64(code % WORD)) & np.uint64(1) == 1
+
+
 def _places(grams: np.ndarray) -> list[np.ndarray]:
     return [((grams * c) >> np.uint64(64 - ROW_BITS)).astype(np.int64) for c in constants(HASHES, 505)]
 
@@ -132,9 +149,10 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 
     An n-gram's rows of the filter, and-ed, are the mask of languages that have it. A language's count, less what
     its filter would accept of any n-grams by chance, is its evidence; the most evidence wins, ties go to the
-    first by name, and the score is the winner's part of all evidence (above a floor of one n-gram each). A null
-    text or one without letters is ``und`` with score 0, and so is every text when nothing was learned. Texts
-    that share no n-gram with any language get the first language. Repeated rows give repeated results.
+    first by name, and the score is 1 / sum(exp(evidence - most evidence)) over all languages: near 1 where the winner leads by a few
+    n-grams, 1 / languages where all are alike. A null text or one without letters is ``und`` with score 0, and so is every text when
+    nothing was learned. Texts that share no n-gram with any language get the first language. Repeated rows give
+    repeated results; a row without an id gets a null ``held_out``.
     """
     k = len(filters.languages)
 
@@ -144,13 +162,13 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
         for first, last, data, offsets in _blocks(batch):
             n = last - first
             hashes, rows = _ngrams(data, offsets)
-            mask = np.full(len(hashes), np.uint64(2**64 - 1))
+            mask = np.full((len(filters.rows), len(hashes)), np.uint64(2**64 - 1))
             for place in _places(hashes):
-                mask &= filters.rows[place]
+                mask &= filters.rows[:, place]
             total = np.bincount(rows, minlength=n).astype(float)
             evidence = np.zeros((n, k))
             for c in range(k):
-                hits = np.bincount(rows[(mask >> np.uint64(c)) & np.uint64(1) == 1], minlength=n)
+                hits = np.bincount(rows[_has(mask, c)], minlength=n)
                 chance = filters.filled[c]
                 evidence[:, c] = np.maximum(hits - chance * total, 0) / max(1e-9, 1 - chance)
             empty = np.diff(offsets) == 0
