@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,6 +84,57 @@ def test_languages_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def spoken(n_languages, n_docs, seed=3):
+    """Documents of made-up languages, each with words of its own and some that all share."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8)))
+    shared = [word() for _ in range(40)]
+    own = [[word() for _ in range(60)] for _ in range(n_languages)]
+    return [(i, " ".join(rng.choice(own[i % n_languages] if rng.random() < 0.7 else shared) for _ in range(25)), f"l{i % n_languages:03d}") for i in range(n_docs)]
+
+
+def plain_languages(rows):
+    """The same by plain sets of n-grams, without hashes and filters."""
+    grams = lambda text: [(size, b[i : i + size]) for b in [f" {text} ".encode()] for size in langid.SIZES for i in range(len(b) - size + 1)]
+    counts = {}
+    for doc_id, text, lang in rows:
+        if zlib.crc32(str(doc_id).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(grams(text))
+    shares = {lang: {g: n / c.total() for g, n in c.items() if n / c.total() >= langid.SHARE} for lang, c in counts.items()}
+    means = Counter()
+    for held in shares.values():
+        for g, share in held.items():
+            means[g] += share / len(shares)
+    sets = {lang: {g for g, share in held.items() if share >= langid.OF_MEAN * means[g]} for lang, held in shares.items()}
+    return {i: max(sorted(sets), key=lambda lang: sum(g in sets[lang] for g in own)) for i, text, _ in rows for own in [grams(text)]}
+
+
+def test_seventy_languages_equal_plain_sets(spark):
+    rows = spoken(70, 1400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.train(docs)
+    assert filters.rows.shape[0] == 2 and len(filters.languages) == 70
+    got = {r.doc_id: r for r in langid.identify(docs, filters).collect()}
+    want = plain_languages(rows)
+    assert sum(got[i].lang_pred == want[i] for i, _, _ in rows) >= 0.99 * len(rows)
+    held = [r for r in rows if got[r[0]].held_out]
+    assert len(held) > 200 and sum(got[i].lang_pred == lang for i, _, lang in held) >= 0.97 * len(held)
+    rare = [r for r in held if int(r[2][1:]) >= 64]
+    assert rare and all(got[i].lang_pred == lang for i, _, lang in rare)
+
+
+def test_a_repeated_id_teaches_each_different_text_once(spark):
+    rows = spoken(2, 200)
+    once = spark.createDataFrame(rows, "doc_id long, text string, lang string").where("crc32(cast(doc_id AS string)) % 4 <> 2")
+    one_id = once.withColumn("doc_id", once.doc_id * 0 + 1)
+    want = langid.train(once)
+    for docs in (one_id, one_id.unionByName(one_id), once.unionByName(once)):
+        got = langid.train(docs)
+        assert got.languages == want.languages and (got.rows == want.rows).all()
+    first = langid._first(one_id.unionByName(one_id), 30)
+    assert sorted(r["count"] for r in first.groupBy("lang").count().collect()) == [30, 30]
+
+
 def test_language_edges(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "123 !?", None), (5, "", "de"), (5, "", "de"), (6, "日本語", None)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, score int")
