@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -247,3 +248,56 @@ def test_secrets_without_findings(spark):
     docs = spark.createDataFrame([(1, "nothing"), (1, "nothing"), (2, None)], "doc_id long, text string")
     assert [(r.spans, r.n_network) for r in secrets.scan(docs).collect()] == [("", 0)] * 3
     assert secrets.scan(docs.limit(0)).collect() == []
+
+
+KEYS = string.ascii_letters + string.digits
+
+
+def key_families(rng):
+    pick = lambda s, n: "".join(rng.choice(s) for _ in range(n))
+    return {
+        "live": lambda: f"sk_live_{pick(KEYS, 24)}",
+        "personal": lambda: f"ghp_{pick(KEYS, 36)}",
+        "bot": lambda: f"xoxb-{pick(string.digits, 12)}-{pick(string.digits, 12)}-{pick(KEYS, 24)}",
+        "cloud": lambda: pick(KEYS + "+/", 40),
+        "letters": lambda: pick(string.ascii_letters, 28),
+        "named": lambda: f"pwd = {rng.choice(['hunter', 'dragon', 'monkey', 'winter'])}{rng.randrange(10, 999)}{rng.choice('abcxyz')}",
+    }
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_secrets_of_families_that_no_pattern_names(spark, sf):
+    docs = table(spark, f"/root/testdata/{sf}", "documents").select("doc_id", "text")
+    texts = [r.text for r in docs.where("text is not null and doc_id < 400").collect()]
+    rng, planted = random.Random(4), []
+    for name, make in key_families(rng).items():
+        for _ in range(50):
+            words = rng.choice(texts).split(" ")[:80]
+            at = rng.randrange(len(words) + 1)
+            head = " ".join(words[:at]) + " "
+            value = make()
+            planted.append((-1 - len(planted), head + value + " " + " ".join(words[at:]), name, len(head) + value.rfind(" ") + 1, len(head) + len(value)))
+    rows = spark.createDataFrame([(i, t) for i, t, *_ in planted], docs.schema)
+    got = {r.doc_id: r for r in secrets.scan(docs.unionByName(rows)).select("doc_id", "spans", "n_network").collect()}
+    hits = Counter()
+    for i, _, name, a, b in planted:
+        assert "network:" in got[i].spans or got[i].n_network == 0
+        hits[name] += f"network:{a}:{b}" in got[i].spans.split(",")
+    assert all(hits[name] >= 45 for name in key_families(rng)), hits
+    clean = [r for i, r in got.items() if i >= 0]
+    assert sum(r.n_network > 0 for r in clean) <= 0.01 * len(clean)
+
+
+def test_secret_windows():
+    text = "é pwd='abcdefgh12' " + "Q7" * 50
+    spans = secrets.candidates(text, [])
+    assert [text[a:b] for a, b in spans] == ["abcdefgh12", "Q7" * 50]
+    which, codes = secrets.windows(text, spans)
+    assert which.tolist() == [0, 1, 1, 1, 1]
+    show = ["".join({0: "_", 1: "?"}.get(c, chr(c + 30)) for c in row.tolist()) for row in codes]
+    assert show[0] == "_" * 17 + "? pwd='" + "abcdefgh12" + "_" * 30 + "' Q7Q7Q7"
+    assert show[1] == "_" * 5 + "? pwd='abcdefgh12' " + "Q7" * 20 + "Q7" * 4 and show[4].endswith("Q7" * 20 + "_" * 8)
+    assert secrets.candidates(text, [(0, 0, 9)]) == spans[1:] and secrets.candidates("a.b-c.d. short 1234567", []) == []
+    assert secrets.windows("", [])[1].shape == (0, 72) and len(secrets.windows("a1" * 300_000, [(0, 600_000)])[0]) == 29_999
+    shown = secrets.windows("say token = abcdefgh", [(12, 20)], [4])[1][0]
+    assert "".join(chr(c + 30) for c in shown.tolist() if c) == "say abcdefgh"
