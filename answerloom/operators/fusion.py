@@ -42,12 +42,13 @@ def rank_of(score: Column, key: str = "chunk_key", present: Column | None = None
 
 
 def merge_recall(vec: DataFrame, bm: DataFrame) -> DataFrame:
-    """Union of both recall lists with the scores and ranks of each side."""
-    v = vec.select("query_id", "chunk_key", F.col("kb_id").alias("_kv"), "vector_score", "vector_rank")
-    b = bm.select("query_id", "chunk_key", F.col("kb_id").alias("_kb"), "bm25_score", "bm25_rank")
-    return v.join(b, ["query_id", "chunk_key"], "full_outer").select(
-        "query_id", "chunk_key", F.coalesce("_kv", "_kb").alias("kb_id"), "vector_score", "vector_rank", "bm25_score", "bm25_rank"
-    )
+    """Union of both recall lists with the scores and ranks of each side; chunks of different collections may share a key."""
+    keys = ["query_id", "chunk_key", "kb_id"]
+    v = vec.select(*keys, "vector_score", "vector_rank").alias("v")
+    b = bm.select(*keys, "bm25_score", "bm25_rank").alias("b")
+    same = (F.col("v.query_id") == F.col("b.query_id")) & (F.col("v.chunk_key") == F.col("b.chunk_key")) & F.col("v.kb_id").eqNullSafe(F.col("b.kb_id"))
+    both = [F.coalesce(f"v.{c}", f"b.{c}").alias(c) for c in keys]
+    return v.join(b, same, "full_outer").select(*both, "vector_score", "vector_rank", "bm25_score", "bm25_rank")
 
 
 def fuse_weighted(df: DataFrame, alpha: float = 0.6, within: Sequence[str] = ()) -> DataFrame:

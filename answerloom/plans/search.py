@@ -126,13 +126,13 @@ def enrich(candidates: DataFrame, queries: DataFrame, corpus: Corpus, small: boo
         found = found.withColumn("doc_name", F.lit(None).cast("string"))
     context = F.coalesce("parent_content", "content")
     found = found.select(
-        "query_id", "chunk_key", "doc_id", "doc_name", "chunk_index", "content", "section_path", "page_no",
+        "query_id", "kb_id", "chunk_key", "doc_id", "doc_name", "chunk_index", "content", "section_path", "page_no",
         context.alias("context_text"),
         F.char_length(context).alias("context_chars"),
         T.coverage_of(F.col("q_terms"), T.tokenize("content")).alias("keyword_coverage"),
         T.coverage_of(F.col("q_terms"), T.tokenize(R.section_text())).alias("section_coverage"),
     )
-    return candidates.join(found, ["query_id", "chunk_key"], "left").withColumn("orphan", F.col("doc_id").isNull())
+    return candidates.join(found, ["query_id", "kb_id", "chunk_key"], "left").withColumn("orphan", F.col("doc_id").isNull())
 
 
 def rank_candidates(found: DataFrame, cfg: SearchConfig, external: DataFrame | None = None) -> DataFrame:

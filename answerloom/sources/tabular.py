@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -28,10 +29,12 @@ def table_text(files: DataFrame, sep: str = ",", header: bool = True, file: str
     """(file, row_no, line) of each CSV file that is one row of ``files``: one line per data row, blank rows left out.
 
     A file's first row names its cells; a cell beyond them, or with a blank name, is ``col_{i}``. A file of names only keeps
-    them as its one line. Files are rows of their own, so files of different columns may be read together.
+    them as its one line. Files are rows of their own, so files of different columns may be read together. A task holds
+    one file and its lines at a time; cells have no limit of their own.
     """
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)  # cells may be of any length that a task can hold
         for batch in batches:
             out: list[tuple] = []
             for path, body in zip(batch.column(file).to_pylist(), batch.column(text).to_pylist(), strict=True):

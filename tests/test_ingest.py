@@ -150,3 +150,10 @@ def test_case_lines(spark, tmp_path):
     assert sorted((r.line_no, r.reason) for r in bad.unionByName(unusable).collect()) == [
         (4, "invalid JSON"), (5, "not a JSON object"), (7, "question is required"),
     ]
+
+
+def test_cells_have_no_length_limit(spark):
+    cell = 'long ""quoted"" cell\nover lines ' * 36_000
+    files = spark.createDataFrame([("f", f'name,note\nann,"{cell}"\nbob,short\n')], "path string, text string")
+    got = [r.line for r in tabular.table_text(files).orderBy("row_no").collect()]
+    assert got == ["name: ann | note: " + cell.replace('""', '"').strip(), "name: bob | note: short"] and len(got[0]) > 1_000_000

@@ -181,3 +181,15 @@ def test_batch_equals_single_queries_and_missing_kb_is_reported(spark):
     unnamed = q.withColumn("kb_ids", F.lit(None).cast("array<string>"))
     rows = hybrid_search(unnamed, corpus, SearchConfig()).debug.collect()
     assert any(r.bm25_candidates > 0 for r in rows) and all(r.vector_candidates == 0 and r.vector_error == NO_KB for r in rows)
+
+
+def test_collections_may_share_chunk_keys(spark):
+    cols = "query_id int, kb_id string, chunk_key string, {0}_score double, {0}_rank int"
+    vec = spark.createDataFrame([(1, "a", "0:0", 0.5, 1), (1, None, "1:0", 0.4, 2)], cols.format("vector"))
+    bm = spark.createDataFrame([(1, "b", "0:0", 2.0, 1), (1, "a", "0:0", 1.0, 2), (1, None, "1:0", 0.5, 3)], cols.format("bm25"))
+    got = sorted((r.kb_id or "", r.chunk_key, r.vector_score, r.bm25_score) for r in R.merge_recall(vec, bm).collect())
+    assert got == [("", "1:0", 0.4, 0.5), ("a", "0:0", 0.5, 1.0), ("b", "0:0", None, 2.0)]
+    both = chunks(spark, ["apple pear", "plum"], "a").unionByName(chunks(spark, ["apple fig", "nut"], "b"))
+    corpus = Corpus(both, bm25.build_index(both), None, None)
+    hits = hybrid_search(ask(spark, "apple"), corpus, SearchConfig(mode="bm25", all_kbs=True)).hits.collect()
+    assert sorted((r.kb_id, r.content) for r in hits) == [("a", "apple pear"), ("b", "apple fig")]
