@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from answerloom.operators import admin as A, evaluate as E, usage as U
 from answerloom.operators.skew import dense_index
+from answerloom.registry import streams
 
 
 def test_dense_index_numbers_without_gaps(spark):
@@ -43,6 +44,19 @@ def test_bootstrap_edges(spark):
     assert point.low == point.high == point.point == 1.0
 
 
+@pytest.mark.parametrize("folder", [False, True])
+def test_stream_source_reads_a_file_or_a_folder(spark, tmp_path, folder):
+    """A table kept as a folder of files was listed as nothing, and the query failed for want of output."""
+    rows, path = spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", "yes"), (2, 0, "user", "x")], "conv_id long, turn int, role string, text string"), str(tmp_path / "in")
+    rows.repartition(2).write.parquet(f"{path}/conversations.parquet") if folder else rows.toPandas().to_parquet((tmp_path / "in").mkdir() or f"{path}/conversations.parquet")
+    assert sorted(r.turns for r in streams.stream_conversation_history(spark, path).collect()) == ["0", "0,1"]
+
+
+def test_stream_ingest_reads_a_folder(spark, tmp_path):
+    spark.createDataFrame([(1, "a text", "web"), (2, "other words", "web"), (3, "third", "wiki")], "doc_id long, text string, source string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.kb_id: (r.chunks, r.documents) for r in streams.stream_ingested_chunks(spark, str(tmp_path)).collect()} == {"web": (2, 2), "wiki": (1, 1)}
+
+
 def test_strict_pairing_refuses_other_sizes(spark):
     a = spark.createDataFrame([(1, True, 1.0, 1.0)], "case_id int, hit boolean, recall_at_k double, ndcg double")
     with pytest.raises(ValueError):
