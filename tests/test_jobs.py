@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,30 @@ def test_bootstrap_edges(spark):
     assert point.low == point.high == point.point == 1.0
 
 
+def test_bootstrap_draws_over_blocks_and_groups(spark):
+    """Against plain Python: a group over several blocks, a missing value, a missing key (first, never drawn) and a missing group."""
+    rows = [("a", i * 3, float(i * i % 101)) for i in range(300)] + [("b", 1, 2.0), ("b", 9, None), ("b", None, 5.0), (None, 4, 1.0), ("c", 1, None)]
+    boots = 1 << 16  # blocks of 64 positions
+    got = {(r.g, r.boot): r.mean for r in E._boot_means(spark.createDataFrame(rows, "g string, case_id long, value double"), ["g"], boots, 7).filter("boot % 6553 = 0").collect()}
+    want = {}
+    for g in "abc":
+        n, held = sum(r[0] == g for r in rows), [r[2] for r in rows if r[0] == g and r[1] is not None]
+        for boot in range(0, boots, 6553):
+            drawn = [int(hashlib.md5(f"7:{boot}:{slot}".encode()).hexdigest()[:15], 16) % n for slot in range(n - len(held), n)]
+            some = [held[i - n + len(held)] for i in drawn if i >= n - len(held)]
+            if some:
+                known = [v for v in some if v is not None]
+                want[g, boot] = pytest.approx(sum(known) / len(known)) if known else None
+    assert got == want
+
+
+def test_bootstrap_plan_does_not_replicate_values(spark):
+    """Draws meet the values in a cogroup of packed blocks: no join by position with a salted copy of every value."""
+    df = spark.createDataFrame([(0, i, 1.0) for i in range(9)], "run int, case_id long, value double")
+    plan = E._boot_means(df, ["run"], 50, 1)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "_salt" not in plan
+
+
 @pytest.mark.parametrize("folder", [False, True])
 def test_stream_source_reads_a_file_or_a_folder(spark, tmp_path, folder):
     """A table kept as a folder of files was listed as nothing, and the query failed for want of output."""
