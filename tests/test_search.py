@@ -91,6 +91,26 @@ def test_bucketed_search_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_bucketed_search_scores_in_blocks_and_keeps_the_same_rows(spark):
+    """Against the plain join of pairs by bucket, with copies of a vector and rows without a collection; no row per pair is made."""
+    v = np.round(np.random.default_rng(3).standard_normal((60, 8)), 1)
+    v[40:50] = v[:10]
+    rows = [(i, None if i % 11 == 5 else i % 2, x.tolist()) for i, x in enumerate(v)]
+    vec = spark.createDataFrame(rows, "chunk_key long, kb_id int, embedding array<float>")
+    q = vec.withColumnRenamed("chunk_key", "query_id")
+    a, b = V.with_signatures(vec, 8, 12, 5), V.with_signatures(q, 8, 12, 5).withColumnRenamed("embedding", "_q")
+    pairs = a.join(b, ["_table", "_sig", "kb_id"]).select("query_id", "chunk_key", F.round(V.dot("embedding", "_q"), 9).alias("s")).distinct()
+    scores = {}
+    for r in pairs.collect():
+        scores.setdefault(r.query_id, []).append((-r.s, r.chunk_key))
+    found = V.vector_topk_lsh(q, vec, 5, 8)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r.vector_rank):
+        got.setdefault(r.query_id, []).append((-r.vector_score, r.chunk_key))
+    assert got == {k: sorted(x)[:5] for k, x in scores.items()}
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
 def test_hash_embedding_of_blank_text_is_zero(spark):
     df = spark.createDataFrame([("Ab1",), ("!?",), (None,)], "t string").select(V.hash_embed("t", 16).alias("e"))
     full, blank, missing = (np.array(r.e) for r in df.collect())
