@@ -107,3 +107,17 @@ def test_a_chunk_may_span_batches(spark, monkeypatch):
     keys = lambda found: [k for b in found for r in b.column("keys").to_pylist() for k in r]
     assert keys(whole) == keys(split) == list(dict.fromkeys(post.column("chunk_key").to_pylist()))
     assert sum(len(r) for b in split for r in b.column("tf").to_pylist()) == post.num_rows and isinstance(whole[0], pa.RecordBatch)
+
+
+def test_records_are_cut_in_few_passes(monkeypatch):
+    """Postings that arrive in many small batches are encoded a few times, not once a batch, and the records hold all of them."""
+    calls, bounds = [], impact._bounds
+    monkeypatch.setattr(impact, "_bounds", lambda *c: calls.append(len(c[0])) or bounds(*c))
+    n = 5000
+    kb, key = ["a"] * n + [None] * 40, [f"{i:06}" for i in range(n)] + [f"{i:03}" for i in range(40)]
+    table = pa.table({"kb_id": pa.array(kb).take(np.repeat(np.arange(n + 40), 3)), "chunk_key": pa.array(key).take(np.repeat(np.arange(n + 40), 3)), "dl": pa.array([3] * 3 * (n + 40), pa.int32()),
+                      "term": np.tile(np.arange(3), n + 40), "tf": pa.array([1, 2, 1] * (n + 40), pa.int32())})
+    records = pa.Table.from_batches(impact._records(iter(table.to_batches(max_chunksize=10)))).to_pylist()
+    assert [(r["kb_id"], len(r["keys"]), len(r["tf"])) for r in records] == [("a", 4096, 12288), ("a", n - 4096, 3 * (n - 4096)), (None, 40, 120)]
+    assert [k for r in records for k in r["keys"]] == key and records[0]["terms"] == [0, 1, 2] and records[0]["ends"][-1] == len(records[0]["block"])
+    assert sum(calls) < 20 * table.num_rows
