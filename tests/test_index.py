@@ -121,3 +121,34 @@ def test_records_are_cut_in_few_passes(monkeypatch):
     assert [(r["kb_id"], len(r["keys"]), len(r["tf"])) for r in records] == [("a", 4096, 12288), ("a", n - 4096, 3 * (n - 4096)), (None, 40, 120)]
     assert [k for r in records for k in r["keys"]] == key and records[0]["terms"] == [0, 1, 2] and records[0]["ends"][-1] == len(records[0]["block"])
     assert sum(calls) < 20 * table.num_rows
+
+
+def test_postings_are_not_shuffled_and_repeated_keys_add_up(spark):
+    rows = [("a", "1", "x y x"), ("a", "2", "y"), ("b", "2", "y y"), (None, "3", "z"), ("a", None, "z z"), ("b", "4", "of the")]
+    single = spark.createDataFrame(rows, "kb_id string, chunk_key string, content string")
+    assert "Exchange" not in bm25.postings(single)._jdf.queryExecution().executedPlan().toString()
+    again = spark.createDataFrame([*rows, ("a", "1", "x y x"), ("a", None, "z w"), ("a", None, "z")], single.schema)
+    for df, twice in ((single, False), (again, True)):
+        for ranged in (False, True):
+            got = {(r.kb_id, r.chunk_key, r.dl, r.term): r.tf for r in bm25.postings(df, ranged=ranged).collect()}
+            want = {("a", "1", 3, "x"): 4 if twice else 2, ("a", "1", 3, "y"): 2 if twice else 1, ("a", "2", 1, "y"): 1, ("b", "2", 2, "y"): 2, (None, "3", 1, "z"): 1}
+            assert got == want | ({("a", None, 2, "z"): 3, ("a", None, 2, "w"): 1, ("a", None, 1, "z"): 1} if twice else {("a", None, 2, "z"): 2})
+
+
+def test_long_and_empty_texts_are_counted_piece_by_piece(spark, monkeypatch):
+    chunks = corpus(spark, 200)
+    plain = sorted(map(tuple, bm25.postings(chunks).collect()))
+    brute = {(r.kb_id, r.chunk_key, max(1, len(r.content.split())), w): r.content.split().count(w) for r in chunks.collect() for w in set(r.content.split())}
+    assert {x[:4]: x[4] for x in plain} == brute
+    tokens = bm25.tokenized(chunks.coalesce(1)).toArrow().combine_chunks().to_batches()
+    monkeypatch.setattr(bm25, "TOKENS", 50)
+    parts = list(bm25._terms(iter(tokens)))
+    assert len(parts) > 50 and sorted(tuple(r.values()) for p in parts for r in p.to_pylist()) == plain
+
+
+def test_search_keeps_its_candidates(spark, tmp_path):
+    from answerloom.plans import search as S
+
+    chunks = corpus(spark).selectExpr("*", "0 AS chunk_index", "CAST(NULL AS string) AS parent_content", "kb_id AS section_path", "CAST(NULL AS int) AS page_no")
+    found = S.hybrid_search(asked(spark), S.Corpus(chunks, admin.write_bm25_index(chunks, str(tmp_path / "i"))), S.SearchConfig(mode="bm25", all_kbs=True))
+    assert "MapInArrow" not in found.hits._jdf.queryExecution().executedPlan().toString()  # the search ran once, before its two readers
