@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from answerloom.operators import admin, bm25, impact
+from answerloom.operators import admin, bm25, impact, vectors as V
 
 
 def corpus(spark, n=300, seed=1, kbs=("a", "b")):
@@ -152,3 +152,38 @@ def test_search_keeps_its_candidates(spark, tmp_path):
     chunks = corpus(spark).selectExpr("*", "0 AS chunk_index", "CAST(NULL AS string) AS parent_content", "kb_id AS section_path", "CAST(NULL AS int) AS page_no")
     found = S.hybrid_search(asked(spark), S.Corpus(chunks, admin.write_bm25_index(chunks, str(tmp_path / "i"))), S.SearchConfig(mode="bm25", all_kbs=True))
     assert "MapInArrow" not in found.hits._jdf.queryExecution().executedPlan().toString()  # the search ran once, before its two readers
+
+
+def test_one_sided_modes_search_their_side_only(spark, tmp_path, monkeypatch):
+    from answerloom.plans import evaluation, search as S
+
+    seen, recall = [], evaluation.recall
+    monkeypatch.setattr(evaluation, "recall", lambda q, c, cfg: (seen.append(cfg.mode), recall(q, c, cfg))[1])
+    chunks = corpus(spark).selectExpr("*", "0 AS chunk_index", "CAST(NULL AS string) AS parent_content", "kb_id AS section_path", "CAST(NULL AS int) AS page_no")
+    vectors = chunks.select("kb_id", "chunk_key", V.hash_embed("content", 16).alias("embedding"))
+    whole = S.Corpus(chunks, admin.write_bm25_index(chunks, str(tmp_path / "i")), vectors)
+    q = asked(spark).withColumn("embedding", V.hash_embed("question", 16))
+    both = evaluation.search_modes(q, whole, ["bm25", "vector"], S.SearchConfig(all_kbs=True))
+    columns = sorted(both.columns)
+    for mode in ("bm25", "vector"):
+        one = evaluation.search_modes(q, whole, [mode], S.SearchConfig(all_kbs=True))
+        assert sorted(map(str, one.select(*columns).collect())) == sorted(map(str, both.filter(f"mode = '{mode}'").select(*columns).collect())) != []
+    assert seen == ["hybrid", "bm25", "vector"]
+
+
+def test_embedding_goes_by_few_texts(spark, monkeypatch):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "" if i % 7 == 0 else f"Text {i} été") for i in range(23)], "i long, t string").coalesce(1)
+    whole = sorted(map(tuple, df.select("i", V.hash_embed("t", 8)).collect()))
+    monkeypatch.setattr(V, "TEXTS", 4)
+    assert sorted(map(tuple, df.select("i", V.hash_embed("t", 8)).collect())) == whole
+    assert whole[0][1] == whole[7][1] == [0.0] * 8 and abs(sum(x * x for x in whole[1][1]) - 1) < 1e-12
+
+
+def test_scores_are_held_in_bounded_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    q, v = rng.standard_normal((40, 6)), rng.standard_normal((30, 6))
+    run = lambda: V._scan((np.arange(40), q, None), np.arange(30), np.zeros(30), v, 5, False)
+    whole, sizes, best = run(), [], V._best
+    monkeypatch.setattr(V, "_best", lambda s, *a: (sizes.append(s.size), best(s, *a))[1])
+    monkeypatch.setattr(V, "SCORES", 100)
+    assert run().equals(whole) and max(sizes) <= 100
