@@ -301,3 +301,30 @@ def test_secret_windows():
     assert secrets.windows("", [])[1].shape == (0, 72) and len(secrets.windows("a1" * 300_000, [(0, 600_000)])[0]) == 29_999
     shown = secrets.windows("say token = abcdefgh", [(12, 20)], [4])[1][0]
     assert "".join(chr(c + 30) for c in shown.tolist() if c) == "say abcdefgh"
+
+
+def test_secrets_are_learned_from_every_window(spark):
+    texts = [t or "" for t in secret_corpus()] + [f"note {w} and {w.upper()} again" for w in ("ordinary", "wordlike", "separate", "mornings")] * 40
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    each, layers = 2, secrets.untrained()
+    windows = {}
+    for t in texts:
+        for kind, codes in secrets.examples(t, each).items():
+            windows.setdefault(kind, []).append(codes)
+    windows = {k: np.concatenate(v) for k, v in windows.items()}
+    assert len(windows["word"]) > 300 and len(windows["finding"]) > 1000 and set(secrets.SECRET) | set(secrets.ORDINARY) < set(windows)
+    dealt = [secrets._products(docs.repartition(n), layers, each) for n in (1, 7)]
+    assert set(dealt[0]) == set(dealt[1]) == set(windows) - {"unseen"}
+    for kind, sums in dealt[0].items():
+        own = layers.activations(windows[kind]).astype(np.float64)
+        assert (sums == own.T @ own).all() and (dealt[1][kind] == sums).all(), kind
+    net = secrets.fit(layers, dealt[0])
+    counts = secrets._histogram(docs.repartition(5), net, each)
+    assert {k: x.sum() for k, x in counts.items()} == {k: len(x) for k, x in windows.items()}
+
+
+def test_secrets_network_does_not_depend_on_how_rows_are_dealt(spark):
+    docs = spark.createDataFrame([(t or "",) for t in secret_corpus()], "text string")
+    one, other = (secrets.train(docs.repartition(n)) for n in (2, 5))
+    assert (one.out == other.out).all() and one.threshold == other.threshold and (one.scale == other.scale).all()
+    assert one.report[0] >= 0.9 and one.report[2] >= 0.95
