@@ -19,7 +19,7 @@ LENGTH = 200
 GRAM = 32
 #: Strings of consecutive starts and one anchor are a passage; longer stretches are cut here, which loses no string.
 MOST_STARTS = 240
-#: An anchor with more different passages than this is counted string by string instead of indexed in one task.
+#: An anchor with more different passages than this is not indexed in one task: its strings are dealt by hash, to a part for so many passages.
 MOST_PASSAGES = 1000
 #: Bytes of passages to an index, save where one anchor has more: small enough for a core's cache.
 INDEX_BYTES = 1 << 18
@@ -28,6 +28,7 @@ _KEY_BITS = 62
 
 _WIDE = LENGTH - GRAM + 1
 _RUN = "doc_id long, t int, start int, n int, anchor long, content long, twice boolean"
+_MARKS = "anchor long, content long, n int, ranges array<int>"
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,15 +95,15 @@ def _pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The bytes of each chosen passage."""
-    out: dict[str, list] = {k: [] for k in ("anchor", "content", "n", "many", "hot", "bytes")}
+    out: dict[str, list] = {k: [] for k in ("anchor", "content", "n", "many", "parts", "bytes")}
     open_ = zstandard.ZstdDecompressor()
     for packed, chosen in zip(batch.column("packed").to_pylist(), batch.column("chosen").to_pylist(), strict=True):
         text = open_.decompress(packed)
         for c in chosen:
-            for k in ("anchor", "content", "n", "many", "hot"):
+            for k in ("anchor", "content", "n", "many", "parts"):
                 out[k].append(c[k])
             out["bytes"].append(text[c["start"] : c["start"] + c["n"] + LENGTH - 1])
-    kinds = {"anchor": pa.int64(), "content": pa.int64(), "n": pa.int32(), "many": pa.bool_(), "hot": pa.bool_(), "bytes": pa.binary()}
+    kinds = {"anchor": pa.int64(), "content": pa.int64(), "n": pa.int32(), "many": pa.bool_(), "parts": pa.int32(), "bytes": pa.binary()}
     yield pa.RecordBatch.from_arrays([pa.array(out[k], kinds[k]) for k in kinds], names=list(kinds))
 
 
@@ -223,17 +224,47 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Every string of LENGTH bytes of crowded anchors' passages, as two hashes."""
-    anchor, content, n, many = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "content", "n", "many"))
-    for i, text in enumerate(batch.column("bytes").to_pylist()):
-        data = np.frombuffer(text, dtype=np.uint8)
-        at = np.arange(n[i])
-        hashes = []
-        for seed in (808, 909):
-            sums, back = prefix_hashes(data, constants(256, seed))
-            hashes.append(mix((sums[at + LENGTH] - sums[at]) * back[at]).view(np.int64))
-        columns = [np.full(n[i], anchor[i]), np.full(n[i], content[i]), np.full(n[i], n[i], dtype=np.int32), np.full(n[i], many[i]), at.astype(np.int32), *hashes]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "content", "n", "many", "at", "x", "y"])
+    """The strings of LENGTH bytes of crowded anchors' passages, as two hashes: one row for a passage and each part its strings fall in."""
+    anchor, content, n, many, parts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "content", "n", "many", "parts"))
+    packed = batch.column("bytes")
+    for first in range(0, len(n), 512):
+        of, part, sizes, lists = [], [], [], []
+        for i in range(first, min(first + 512, len(n))):
+            data, at, hashes = np.frombuffer(packed[i].as_buffer(), dtype=np.uint8), np.arange(n[i]), []
+            for seed in (808, 909):
+                sums, back = prefix_hashes(data, constants(256, seed))
+                hashes.append(mix((sums[at + LENGTH] - sums[at]) * back[at]))
+            own = (hashes[0] % np.uint64(parts[i])).astype(np.int32)
+            order = np.argsort(own, kind="stable")
+            bounds = group_bounds(own[order])
+            of.append(np.full(len(bounds) - 1, i))
+            part.append(own[order][bounds[:-1]])
+            sizes.append(np.diff(bounds))
+            lists.append((at[order].astype(np.int32), *(h[order].view(np.int64) for h in hashes)))
+        row, offsets = np.concatenate(of), pa.array(np.cumsum(np.concatenate([[0], *sizes])), pa.int32())
+        columns = [anchor[row], content[row], n[row], many[row], np.concatenate(part)]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in zip(*lists, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), *lists], names=["anchor", "content", "n", "many", "part", "at", "x", "y"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of the passages of a partition sorted by anchor and part: which of the strings in the part are there twice or more."""
+    for rows in sorted_groups(batches, ["anchor", "part"]):
+        rows = rows.combine_chunks()
+        at, x, y = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("at", "x", "y"))
+        row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("at")).to_numpy())
+        order = np.lexsort((y, x))
+        bounds = group_bounds(x[order], y[order])
+        found = rows.column("many").to_numpy()[row]
+        found[order] |= np.repeat(np.diff(bounds) > 1, np.diff(bounds))
+        kept = np.bincount(row[found], minlength=rows.num_rows)
+        marked_rows = np.flatnonzero(kept)
+        ranges = np.stack([at[found], at[found] + 1], axis=1).ravel()
+        offsets = pa.array(np.append(0, 2 * np.cumsum(kept[marked_rows])), pa.int32())
+        own = rows.select(["anchor", "content", "n"]).take(pa.array(marked_rows)).combine_chunks()
+        yield pa.RecordBatch.from_arrays(
+            [*(c.combine_chunks() for c in own.columns), pa.ListArray.from_arrays(offsets, pa.array(ranges, pa.int32()))], names=["anchor", "content", "n", "ranges"]
+        )
 
 
 def merged(starts: list[tuple[int, int]]) -> list[list[int]]:
@@ -257,18 +288,17 @@ def marked(docs: DataFrame) -> DataFrame:
     again = runs.groupBy("anchor").agg(F.count("*").alias("c"), F.max("twice").alias("twice")).where("c > 1 or twice").select("anchor")
     held = saved(runs.drop("twice").join(again, "anchor"), "passages")
     kinds = held.groupBy("anchor", "content", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "t", "start")).alias("of"))
-    crowds = kinds.groupBy("anchor").agg((F.count("*") > MOST_PASSAGES).alias("hot"))
-    chosen = kinds.join(crowds, "anchor").select("of.*", F.struct(F.col("of.start").alias("start"), "anchor", "content", "n", (F.col("c") > 1).alias("many"), "hot").alias("one"))
+    crowds = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / MOST_PASSAGES).cast("int").alias("parts"))
+    chosen = kinds.join(crowds, "anchor").select("of.*", F.struct(F.col("of.start").alias("start"), "anchor", "content", "n", (F.col("c") > 1).alias("many"), "parts").alias("one"))
     chosen = chosen.groupBy("doc_id", "t").agg(F.collect_list("one").alias("chosen"))  # at most a document's own passages
     packed = docs.mapInArrow(over_batches(_pack), "doc_id long, t int, no_id boolean, packed binary")
     once = packed.join(chosen, ["doc_id", "t"])
-    cut = saved(once.mapInArrow(over_batches(_cut), "anchor long, content long, n int, many boolean, hot boolean, bytes binary").dropDuplicates(["anchor", "content", "n"]), "bytes")
-    calm = cut.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "content", "n")
-    marks = calm.mapInArrow(_index, "anchor long, content long, n int, ranges array<int>")
-    strings = cut.where("hot").mapInArrow(over_batches(_strings), "anchor long, content long, n int, many boolean, at int, x long, y long")
-    common = strings.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y")
-    single = strings.join(common.withColumn("found", F.lit(True)), ["x", "y"], "left").where("found or many")
-    single = single.groupBy("anchor", "content", "n").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("ranges"))
+    cut = saved(once.mapInArrow(over_batches(_cut), "anchor long, content long, n int, many boolean, parts int, bytes binary").dropDuplicates(["anchor", "content", "n"]), "bytes")
+    calm = cut.where("parts = 1").repartition("anchor").sortWithinPartitions("anchor", "content", "n")
+    marks = calm.mapInArrow(_index, _MARKS)
+    strings = cut.where("parts > 1").mapInArrow(over_batches(_strings), "anchor long, content long, n int, many boolean, part int, at array<int>, x array<long>, y array<long>")
+    single = strings.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_counted, _MARKS)
+    single = single.groupBy("anchor", "content", "n").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))  # at most a passage's own strings
     marks = saved(marks.unionByName(single), "marks")
     found = held.join(marks, ["anchor", "content", "n"]).select("doc_id", "t", F.struct("start", "ranges").alias("mark"))
     found = found.groupBy("doc_id", "t").agg(F.collect_list("mark").alias("marks"))  # at most a document's own passages
@@ -305,8 +335,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
       once, and once in their passage, go before any text moves, and equal passages are one with a mark.
     - Each task indexes the passages of whole anchors: the run-compressed transform with the samples at its runs gives every
       position's agreement with its neighbour in suffix order, and strings of LENGTH bytes or more are marked on both sides.
-    - Anchors with over MOST_PASSAGES different passages are not gathered: their strings are counted one by one by a
-      128-bit hash, with partial sums. Passages are told apart by a hash of 64 bits within an anchor of 64.
+    - Anchors with over MOST_PASSAGES different passages are not gathered: their strings are dealt by hash to a part for every
+      MOST_PASSAGES of them, a passage's strings of one part in one row, and counted there by a 128-bit hash. Passages are told apart by a hash of 64 bits within an anchor of 64.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("t"), F.col("text"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from answerloom.llm import runindex
@@ -76,6 +77,25 @@ def test_passages_shared_with_rows_without_an_id(spark, monkeypatch, most):
     assert sum(r[2] > 0 for r in got) == 9 and sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_strings_of_crowded_anchors_travel_packed(spark, monkeypatch):
+    monkeypatch.setattr(runindex, "MOST_PASSAGES", 10)
+    rng = random.Random(9)
+    prose = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    licence, tail = prose(150), prose(60)
+    texts = [f"{prose(120)}{licence}{tail if i % 3 else prose(60)}{prose(80)}" for i in range(60)] + ["k" * 450, licence * 3]
+    made = []
+    batch = pa.table({"anchor": [1, 1], "content": [5, 6], "n": pa.array([101, 1], pa.int32()), "many": [False, True], "parts": pa.array([6, 6], pa.int32()), "bytes": [texts[0][:300].encode(), b"k" * 200]})
+    for rows in runindex._strings(batch.to_batches()[0]):
+        made += rows.to_pylist()
+    assert [len(r["at"]) for r in made if r["content"] == 6] == [1] and sum(r["content"] == 5 for r in made) <= 6
+    assert sorted(a for r in made if r["content"] == 5 for a in r["at"]) == list(range(101))
+    assert all(r["x"][k] % 2**64 % 6 == r["part"] for r in made for k in range(len(r["x"])))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_bytes(docs.repartition(3)).collect())
+    assert got == brute(rows) and sum(r[2] > 0 for r in got) > 30
+
+
 def test_empty_table(spark):
     assert repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
