@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,18 @@ def test_long_and_empty_texts_are_counted_piece_by_piece(spark, monkeypatch):
     assert len(parts) > 50 and sorted(tuple(r.values()) for p in parts for r in p.to_pylist()) == plain
 
 
+def test_stored_postings_stay_in_the_order_of_their_chunks(spark, tmp_path):
+    index = admin.write_bm25_index(corpus(spark), str(tmp_path / "i"))
+    files = list((tmp_path / "i" / "postings").rglob("*.parquet"))
+    runs = []
+    for f in files:
+        keys = pq.ParquetFile(f).read(["chunk_key"]).column("chunk_key").to_pylist()
+        runs.append([k for i, k in enumerate(keys) if not i or keys[i - 1] != k])
+    assert all(r == sorted(set(r)) for r in runs) and max(map(len, runs)) > 10
+    key = ["kb_id", "chunk_key", "term", "tf", "dl"]
+    assert sorted(map(tuple, index.postings.select(*key).collect())) == sorted(map(tuple, bm25.postings(corpus(spark)).select(*key).collect()))
+
+
 def test_search_keeps_its_candidates(spark, tmp_path):
     from answerloom.plans import search as S
 
