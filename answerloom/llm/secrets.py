@@ -368,8 +368,9 @@ def calibrate(net: Network, counts: dict[str, np.ndarray]) -> Network:
     net.scale = _platt(np.append(raw, raw), np.repeat([1, 0], len(raw)), np.append(one, none))
     step = int((np.cumsum(one) <= (1 - RECALL) * one.sum()).sum())
     net.threshold = float(_sigmoid(raw[step] * net.scale[0] + net.scale[1]))
-    seen = sum(counts[k] for k in SECRET if k in counts)
-    net.report = tuple(float(x[a:b].sum() / max(1, x.sum())) for x, a, b in ((seen, step, None), (counts.get("unseen", np.zeros(len(one))), step, None), (none, 0, step)))
+    empty = np.zeros(len(one))
+    seen = sum((counts[k] for k in SECRET if k in counts), empty)
+    net.report = tuple(float(x[a:b].sum() / max(1, x.sum())) for x, a, b in ((seen, step, None), (counts.get("unseen", empty), step, None), (none, 0, step)))
     return net
 
 

@@ -328,3 +328,11 @@ def test_secrets_network_does_not_depend_on_how_rows_are_dealt(spark):
     one, other = (secrets.train(docs.repartition(n)) for n in (2, 5))
     assert (one.out == other.out).all() and one.threshold == other.threshold and (one.scale == other.scale).all()
     assert one.report[0] >= 0.9 and one.report[2] >= 0.95
+
+
+def test_secrets_threshold_from_unseen_shapes_alone():
+    steps = np.zeros(2 * secrets.WIDEST * secrets.SCORE)
+    high, low = steps.copy(), steps.copy()
+    high[-9], low[9] = 5, 7
+    net = secrets.calibrate(secrets.untrained(), {"unseen": high, "joined": low})
+    assert net.report == (0.0, 1.0, 1.0) and 0.5 < net.threshold < 1
