@@ -200,3 +200,41 @@ def test_scores_are_held_in_bounded_pieces(monkeypatch):
     monkeypatch.setattr(V, "_best", lambda s, *a: (sizes.append(s.size), best(s, *a))[1])
     monkeypatch.setattr(V, "SCORES", 100)
     assert run().equals(whole) and max(sizes) <= 100
+
+
+def test_records_hold_few_postings_and_chunks_stay_whole(monkeypatch):
+    """Long chunks make records of fewer of them; a chunk beyond the bound has one of its own."""
+    monkeypatch.setattr(impact, "POSTINGS", 10)
+    sizes = [3, 4, 3, 25, 1, 9, 2, 8]
+    table = pa.table({"kb_id": ["a"] * sum(sizes), "chunk_key": [f"{i}" for i, n in enumerate(sizes) for _ in range(n)], "dl": pa.array([1] * sum(sizes), pa.int32()),
+                      "term": pa.array([t for n in sizes for t in range(n)], pa.int64()), "tf": pa.array([1] * sum(sizes), pa.int32())})
+    for step in (4, 100):
+        found = pa.Table.from_batches(impact._records(iter(table.to_batches(max_chunksize=step)))).to_pylist()
+        assert [(r["keys"], len(r["tf"])) for r in found] == [(["0", "1", "2"], 10), (["3"], 25), (["4", "5"], 10), (["6", "7"], 10)]
+
+
+def test_a_record_meets_all_small_weights_at_once(spark, tmp_path, monkeypatch):
+    """Records are not repeated for groups of queries; weights that are not known to be small still are parted, with the same hits."""
+    monkeypatch.setattr(impact, "WEIGHTS", 16)
+    chunks, q = corpus(spark), asked(spark)
+    index = admin.write_bm25_index(chunks, str(tmp_path / "i"))
+    seen, join = [], impact.bounded_join
+    monkeypatch.setattr(impact, "bounded_join", lambda *a, **k: seen.append(join(*a, **k)) or seen[-1])
+    hits = rows(bm25.bm25_topk(q, index, 4))
+    assert seen[0].count() == index.blocks.count()
+    weights, small, terms = bm25._weighed(q, index, 1.5, "question")
+    parted = rows(impact.blocked_topk(weights, terms, index.blocks, 4, 1.5, 0.75, False, None))
+    assert small and parted == hits and seen[1].count() > 2 * index.blocks.count()
+
+
+def test_records_of_chunks_are_those_of_their_postings(spark):
+    """Counted and cut in one worker, repeated and missing keys included."""
+    rows_ = [("a", f"{i % 50:03}" if i < 60 else f"{i:03}", " ".join(f"w{j % 7}" for j in range(i))) for i in range(120)] + [(None, "3", "z z y"), ("a", None, "z"), ("b", "4", "of the"), ("b", "5", None)]
+    chunks = spark.createDataFrame(rows_, "kb_id string, chunk_key string, content string")
+
+    def flat(df):
+        return sorted((r.kb_id or "", r["keys"][p] or "", r.dl[p], t, f) for r in df.collect() for t, p, f in zip(np.repeat(r.terms, np.diff([0, *(r.block_ends[e - 1] for e in r.ends)])), r.place, r.tf, strict=True))
+
+    assert flat(bm25.postings_and_records(chunks)[1]) == flat(impact.blocked(bm25.postings(chunks)))
+    plan = bm25.postings_and_records(chunks.filter("kb_id = 'b'"))[1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
