@@ -238,3 +238,21 @@ def test_records_of_chunks_are_those_of_their_postings(spark):
     assert flat(bm25.postings_and_records(chunks)[1]) == flat(impact.blocked(bm25.postings(chunks)))
     plan = bm25.postings_and_records(chunks.filter("kb_id = 'b'"))[1]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_compaction_folds_records_without_their_postings(spark, tmp_path, monkeypatch):
+    """Every chunk of the segments is in one record of its collection, with the terms, lengths and counts of its postings."""
+    path, q = str(tmp_path / "i"), asked(spark)
+    chunks = corpus(spark)
+    for part in range(3):
+        admin.append_segment(chunks.filter(F.col("doc_id") % 3 == part), path)
+    assert admin.read_bm25_index(spark, path).blocks.count() > chunks.select("kb_id").distinct().count()
+    monkeypatch.setattr(admin, "blocked", lambda post: pytest.fail("postings dealt again"))
+    index = admin.compact_index(spark, path)
+
+    def flat(df):
+        return sorted((r.kb_id or "", r["keys"][p], r.dl[p], t, f) for r in df.collect() for t, p, f in zip(np.repeat(r.terms, np.diff([0, *(r.block_ends[e - 1] for e in r.ends)])), r.place, r.tf, strict=True))
+
+    assert flat(index.blocks) == flat(impact.blocked(bm25.postings(chunks)))
+    assert index.blocks.count() <= impact.blocked(bm25.postings(chunks)).count() + 2
+    assert rows(bm25.bm25_topk(q, index, 5)) == rows(bm25.bm25_topk(q, bm25.build_index(chunks), 5))
